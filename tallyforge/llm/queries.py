@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, classifier, html_text, packing, pii, quality_rules, secret_scan, simhash
+from . import ann, classifier, html_text, packing, pii, quality_rules, secret_scan, simhash, suffix_dedup
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op3_quality_rules, op5_classifier, op6_pii, op7_simhash, op8_nearest, op9_html_text, op10_packing)}
+    return {f.__name__: f for f in (op1_secrets, op3_quality_rules, op4_suffix_dedup, op5_classifier, op6_pii, op7_simhash, op8_nearest, op9_html_text, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
