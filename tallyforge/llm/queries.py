@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, classifier, html_text, packing, pii, quality_rules, secret_scan, simhash, suffix_dedup
+from . import ann, classifier, html_text, mixing, packing, pii, quality_rules, secret_scan, simhash, suffix_dedup
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate", "copies")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
@@ -48,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op3_quality_rules, op4_suffix_dedup, op5_classifier, op6_pii, op7_simhash, op8_nearest, op9_html_text, op10_packing)}
+    return {f.__name__: f for f in (op1_secrets, op2_mixing, op3_quality_rules, op4_suffix_dedup, op5_classifier, op6_pii, op7_simhash, op8_nearest, op9_html_text, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
