@@ -35,24 +35,24 @@ SPACE = r"[ \t-\r]+"
 
 
 def _measured(docs: DataFrame, vocabulary: list[str] | None) -> DataFrame:
-    """docs (text) with n_tokens, bins and hits (words of the vocabulary that
-    occur), or the distinct words w_ if there is no vocabulary yet."""
+    """docs (text) with n_tokens (words between white space), bins and hits
+    (words of the vocabulary that occur), or the distinct words w_ if there is
+    no vocabulary yet. The vocabulary's words are runs of letters in lower case."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.withColumn("all_", F.filter(F.split(text, SPACE), lambda x: x != ""))
-    df = df.withColumn("n_tokens", F.size("all_").cast("long")).withColumn("set_", F.array_distinct("all_"))
-    n = F.greatest(F.length(text), F.lit(1))
+    df = docs.withColumns({"bare_": F.split(F.lower(text), r"[^\p{L}]+"), "n_tokens": F.size(F.array_remove(F.split(text, SPACE), "")).cast("long")})
+    df = df.withColumn("set_", F.array_distinct("bare_"))
+    n, words = F.greatest(F.length(text), F.lit(1)), F.size("bare_")
     cut = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / n
+    # Short texts repeat little by nature: below 40 words the rate shrinks in proportion.
     rates = {
-        "repeat": 1 - F.size("set_") / F.greatest(F.col("n_tokens"), F.lit(40)) - F.greatest(F.lit(0), 40 - F.col("n_tokens")) / F.greatest(F.col("n_tokens"), F.lit(40)),
-        "symbol": cut(r"[#*$%&|<>]+"), "upper": cut("[A-Z]+"), "mark": cut("[!?]+") * n / F.greatest(F.col("n_tokens"), F.lit(1)),
+        "repeat": (words - F.size("set_")) / F.greatest(words, F.lit(40)), "symbol": cut(r"[#*$%&|<>]+"), "upper": cut("[A-Z]+"),
+        "mark": cut("[!?]+") * n / F.greatest(F.col("n_tokens"), F.lit(1)),
     }
     bins = [sum((F.when(rates[k] > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("int").alias(k) for k, edges in RATES.items()]
-    words = F.transform("set_", lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}]+$", "")))
     if vocabulary is None:
-        return df.select("*", F.array(*bins).alias("bins"), F.array_distinct(words).alias("w_")).drop("all_", "set_")
-    # The words' ends vary; the vocabulary is matched as bare words.
-    hits = F.array_intersect(F.array_distinct(words), F.lit(vocabulary)) if vocabulary else F.lit([]).cast("array<string>")
-    return df.select("*", F.array(*bins).alias("bins"), hits.alias("hits")).drop("all_", "set_")
+        return df.select("*", F.array(*bins).alias("bins"), F.col("set_").alias("w_")).drop("bare_", "set_")
+    hits = F.array_intersect("set_", F.lit(vocabulary)) if vocabulary else F.lit([]).cast("array<string>")
+    return df.select("*", F.array(*bins).alias("bins"), hits.alias("hits")).drop("bare_", "set_")
 
 
 def domain() -> Column:
@@ -108,9 +108,10 @@ def learned(docs: DataFrame, labels: DataFrame) -> Evidence:
 
 
 def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with n_tokens and p_<domain>, the posteriors (they sum to 1)."""
+    """docs with n_tokens, u_ (uniform()) and p_<domain>, the posteriors (they
+    sum to 1)."""
     evidence = learned(docs, labels)
-    rows = _measured(docs, list(evidence.words)).withColumn("logs_", F.array(*evidence.posterior()))
+    rows = _measured(docs.withColumn("u_", uniform()), list(evidence.words)).withColumn("logs_", F.array(*evidence.posterior()))
     rows = rows.withColumn("top_", F.array_max("logs_")).withColumn("e_", F.transform("logs_", lambda x: F.exp(x - F.col("top_"))))
     total = F.aggregate("e_", F.lit(0.0), lambda s, x: s + x)
     rows = rows.withColumn("sum_", total)
@@ -172,17 +173,19 @@ def uniform() -> Column:
     return F.pmod(F.xxhash64(F.lit("mixing"), F.col("doc_id").cast("long"), F.col("text")), F.lit(1 << 20)) / float(1 << 20)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs with n_tokens, p_<domain>, rate (>= 0) and copies per row.
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The carried columns of docs (all, if not said) with n_tokens, p_<domain>, rate (>= 0) and copies per row.
 
     Expected tokens by domain meet the targets' shares of all tokens as closely
     as rates can. Texts without words have no tokens, hence no say, and their
     rate follows from their posterior. Columns of these names are replaced."""
     targets = targets or TARGETS
     new = {"n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS)}
-    rows = written(memberships(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]), labels), "mixing-members")
+    carry = [c for c in carry or docs.columns if c.lower() not in new]
+    members = memberships(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]), labels)
+    rows = written(members.select(*[F.col(f"`{c}`") for c in carry], "n_tokens", "u_", *[f"p_{d}" for d in DOMAINS]), "mixing-members")
     moves, _ = fitted(rows.select("n_tokens", *[f"p_{d}" for d in DOMAINS]), targets)
-    return rows.withColumn("rate", rate(moves)).withColumn("copies", F.floor(F.col("rate") + uniform()).cast("int"))
+    return rows.withColumn("rate", rate(moves)).withColumn("copies", F.floor(F.col("rate") + F.col("u_")).cast("int")).drop("u_")
 
 
 def repeated(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    rows = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return rows.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate", "copies")
 
 
@@ -56,5 +56,32 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_secrets, op2_mixing, op3_quality_rules, op4_suffix_dedup, op5_classifier, op6_pii, op7_simhash, op8_nearest, op9_html_text, op10_packing)}
 
 
+def quality_sql() -> str:
+    """op3 as SQL: the counts, then the cutoffs by the exact binomial tail."""
+    q = quality_rules
+    cuts = ", ".join(f"('{f}', {i}, {c!r})" for f, cs in q.CUTOFFS.items() for i, c in enumerate(cs))
+    rates = " union all ".join(f"select doc_id, lang, base_failed, '{f}' as f, {f} as v from feats" for f in q.CUTOFFS)
+    return f"""with t as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as text from documents),
+ w as (select *, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda x: x <> '') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) as lines from t),
+ win as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as s from w, unnest(range(1, len(w) - 3)) as u(i)),
+ twice as (select * from (select *, count(*) over (partition by doc_id, s) as k from win) where k > 1),
+ cover as (select doc_id, sum(least(5, i - coalesce(before, i - 5))) as n from (select *, lag(i) over (partition by doc_id order by i) as before from twice) group by doc_id),
+ counted as (select w.doc_id, lang, text, len(w) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
+  cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(lines) as n_lines, cast(coalesce(cover.n, 0) as bigint) as n_repeat_words from w left join cover using (doc_id)),
+ feats as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  case when word_chars > 0 then n_symbols / word_chars else 0 end as symbol_rate, case when word_chars > 0 then (length(text) - length(regexp_replace(text, '[A-Z]+', '', 'g'))) / word_chars else 0 end as upper_rate,
+  case when n_lines > 0 then n_dup_lines / n_lines else 0 end as dup_line_rate, case when n_words > 0 then (length(text) - length(regexp_replace(text, '[!?]+', '', 'g'))) / n_words else 0 end as mark_rate from counted),
+ rates as ({rates}), cuts(f, i, c) as (values {cuts}),
+ good as (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1),
+ seen as (select lang, rates.f, i, c, count(*) as n, count(*) filter (where v > c) as k from rates join good using (doc_id) join cuts on rates.f = cuts.f where not base_failed group by all),
+ strata as (select lang from seen group by lang order by max(n) desc, lang limit {q.STRATA}),
+ tested as (select seen.*, list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({q.EPSILON}) + (n - j) * ln(1 - {q.EPSILON})))) <= {q.DELTA} / ((select count(*) from strata) * {len(q.CUTOFFS)}) as fine from seen join strata using (lang)),
+ cutoff as (select lang, f, min(c) as c from (select *, coalesce(min(case when not fine then i end) over (partition by lang, f), 1000) as stop from tested) where i < stop group by lang, f),
+ bad as (select distinct doc_id from rates join cutoff using (lang, f) where v > c)
+ select feats.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.doc_id is null as kept from feats left join bad on bad.doc_id = feats.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are beyond SQL (fitted models, seeded hashes, tokenizers,
+    automata) or, byte by byte, far too slow in it (op4)."""
+    return {"op3_quality_rules": quality_sql()}

@@ -7,11 +7,11 @@ no other run, and stands in it once, repeats nothing. Of equal runs all but the
 left, different runs of one anchor (the borders of repeats), is decided byte by
 byte: the runs' bytes are sorted into shards, each shard's Burrows-Wheeler
 transform is made, and the transforms of a group are merged by refining their
-interleave one character per step. A step moves each entry to the place of its
-preceding character, stably, so after k steps entries stand in order of their
-first k characters, and the borders between unequal ones are where the common
-prefix is shorter than k. Entries alone in their interval are let go. After
-LENGTH steps the intervals are the repeated strings; all but the earliest
+interleave by STEP bytes per step. A step moves each entry to the place of the
+bytes before it, stably, so after k steps entries stand in order of their first
+STEP * k bytes, and the borders between unequal ones are where the common prefix
+is shorter. Entries alone in their interval are let go. After LENGTH bytes the
+intervals are the repeated strings; all but the earliest
 place of each are repeats. No suffix is sorted again across shards.
 
 Groups of one anchor with more than HOT different runs are decided by their
@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, written
+from .common import discard, sized, written
 
 LENGTH, GRAM = 100, 32
 WIDE = LENGTH - GRAM + 1
+#: Bytes by which a step of the merge goes on; LENGTH is a multiple.
+STEP = 2
 #: Different runs of one anchor that one task merges (about 140 bytes each);
 #: bytes of a shard and of a group of shards; windows of a text read at once.
 HOT, SHARD, GROUP, BLOCK = 16_384, 1 << 19, 1 << 21, 1 << 20
@@ -108,54 +110,63 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a shard of strings: its suffixes (places in the strings joined, each
     string with an end mark) in order of their first LENGTH bytes at least, the
-    byte before each (0 where none; bytes count from 1), and for each the
-    rank of the suffix that starts one byte before."""
-    text = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int64) + 1
+    STEP bytes before each, and for each the rank of the suffix that starts
+    STEP bytes before (-1 where its string begins later)."""
+    raw = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
     ends = np.cumsum([len(s) + 1 for s in strings]) - 1
+    n = len(raw)
+    size = np.diff(ends, prepend=-1)
+    left = np.repeat(ends, size) - np.arange(n)  # bytes up to the string's end
+    text = raw.astype(np.uint64) + np.uint64(1)
     text[ends] = 0
-    n = len(text)
-    # Rank by eight bytes, then by doubling. A mark ends what is compared.
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    # Rank by seven bytes, then by doubling. An end mark ends what is compared.
     key = np.zeros(n, np.uint64)
-    padded = np.concatenate([text, np.zeros(8, np.int64)])
     for k in range(7):
-        key = (key << np.uint64(9)) | np.where(k <= left, padded[k : k + n], 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+        key <<= np.uint64(9)
+        key[: n - k] |= np.where(left[: n - k] >= k, text[k:], np.uint64(0))
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.concatenate([[0], (key[order][1:] != key[order][:-1]).astype(np.int64)]))
     width = 7
-    while width < LENGTH:
-        after = np.where(left >= width, rank[np.minimum(np.arange(n) + width, n - 1)] + 1, 0)
-        pair = rank * (n + 1) + after
-        order = np.argsort(pair, kind="stable")
+    while width < LENGTH and rank[order[-1]] < n - 1:
+        pair = rank * (n + 1)
+        pair[: n - width] += np.where(left[: n - width] >= width, rank[width:] + 1, 0)
+        order = np.argsort(pair)
         rank[order] = np.cumsum(np.concatenate([[0], (pair[order][1:] != pair[order][:-1]).astype(np.int64)]))
         width *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.concatenate([[0], text[:-1]])[order]
-    return order, before, place[order - 1]
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    code = np.zeros(n, np.uint16)
+    code[STEP:] = (raw[: n - STEP].astype(np.uint16) << 8) | raw[1 : n - STEP + 1]
+    prior = np.full(n, -1, np.int32)
+    prior[STEP:] = place[: n - STEP]
+    prior[np.repeat(size - 1, size) - left < STEP] = -1
+    return order, code[order], prior[order]
 
 
 def merged(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Of the transforms' entries that start a string of LENGTH bytes which
     occurs again: (entry, interval). Entries count through the shards."""
     starts = np.cumsum([0, *(len(s[0]) for s in shards)])
-    before = np.concatenate([s[1] for s in shards]).astype(np.uint16)
-    prior = np.concatenate([s[2] + at for s, at in zip(shards, starts, strict=False)]).astype(np.int32)
+    before = np.concatenate([s[1] for s in shards])
+    prior = np.concatenate([np.where(s[2] < 0, -1, s[2] + at) for s, at in zip(shards, starts, strict=False)]).astype(np.int32)
     entry = np.arange(starts[-1], dtype=np.int32)
     block = np.zeros(len(entry), np.int32)
-    for _ in range(LENGTH):
-        c = before[entry]
-        inside = c > 0
-        entry, block, c = entry[inside], block[inside], c[inside]
-        o = np.argsort(c, kind="stable")
-        entry, block, c = prior[entry[o]], block[o], c[o]
+    for done in range(STEP, LENGTH + 1, STEP):
+        to = prior[entry]
+        if (inside := to >= 0).all():
+            c = before[entry]
+        else:
+            to, c, block = to[inside], before[entry[inside]], block[inside]
+        o = np.argsort(c, kind="stable")  # a radix sort
+        entry, block, c = to[o], block[o], c[o]
         new = np.empty(len(entry) + 1, bool)
         new[0] = new[-1] = True
         new[1:-1] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(new[:-1], dtype=np.int32)
-        shared = ~(new[:-1] & new[1:])  # not alone in its interval
-        entry, block = entry[shared], block[shared]
+        alone = new[:-1] & new[1:]
+        if done == LENGTH or 8 * np.count_nonzero(alone) > len(alone):
+            entry, block = entry[~alone], block[~alone]
     return entry, block
 
 
@@ -289,24 +300,31 @@ def ranges(docs: DataFrame) -> DataFrame:
     place = F.struct("doc", "tie", "start")
     rows = written(docs.mapInArrow(_runs, "a long, h long, doc long, tie long, start int, n int, own boolean"), "suffix-runs")
     often = written(rows.groupBy("a").agg(F.count("*").alias("c"), F.max("own").alias("own")).where("c > 1 or own").select("a"), "suffix-anchors")
-    again = written(rows.join(sized(often, often.count(), 24), "a", "left_semi"), "suffix-candidates")
+    # As many anchors as a share of the input: always a shuffled join, which splits a hot anchor's runs.
+    again = written(rows.join(often.hint("merge"), "a", "left_semi"), "suffix-candidates")
+    discard(rows, often)
     firsts = written(again.groupBy("a", "h").agg(F.min(F.struct("doc", "tie", "start", "n")).alias("f"), F.count("*").alias("c"), F.max("own").alias("own")), "suffix-firsts")
     more = firsts.where("c > 1").select("a", "h", F.struct("f.doc", "f.tie", "f.start").alias("first"))
     whole = again.join(more, ["a", "h"]).where(place > F.col("first")).select("doc", "tie", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))
     several = firsts.groupBy("a").agg(F.count("*").alias("k"), F.max("own").alias("self")).where("k > 1 or self")
     left = firsts.join(several, "a").select("a", (F.col("k") > HOT).alias("hot"), "f.doc", "f.tie", F.struct("a", "f.start", "f.n", (F.col("k") > HOT).alias("hot")).alias("r"))
-    lists = written(left.groupBy("doc", "tie").agg(F.collect_list("r").alias("own"), F.count("*").alias("c")), "suffix-left")
-    size = lists.agg(F.count("*").alias("rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("runs")).first()
-    lists = sized(lists.drop("c"), size["rows"] + size["runs"], 32)
+    lists_ = written(left.groupBy("doc", "tie").agg(F.collect_list("r").alias("own"), F.count("*").alias("c")), "suffix-left")
+    size = lists_.agg(F.count("*").alias("rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("runs")).first()
+    lists = sized(lists_.drop("c"), size["rows"] + size["runs"], 32)
     bits = written(docs.join(lists, ["doc", "tie"]).mapInArrow(_sliced, "a long, hot boolean, doc long, tie long, start int, s binary"), "suffix-bits")
+    discard(lists_)
     cold = bits.where("not hot").repartition("a").sortWithinPartitions("a")
     found = whole.unionAll(cold.mapInArrow(_merge, "doc long, tie long, start int, end int"))
+    used = [again, firsts, bits]
     if not bits.where("hot").isEmpty():
         windows = written(bits.where("hot").mapInArrow(_windows, "w binary, doc long, tie long, start int"), "suffix-windows")
+        used.append(windows)
         least = windows.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
         found = found.unionAll(windows.join(least, "w").where(place > F.col("first")).select("doc", "tie", "start", (F.col("start") + LENGTH).alias("end")))
     own = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("own"))
-    return written(own.mapInArrow(_united, "doc long, tie long, gone binary"), "suffix-gone")
+    gone = written(own.mapInArrow(_united, "doc long, tie long, gone binary"), "suffix-gone")
+    discard(*used)
+    return gone
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
