@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def folded(c: Column, rules: list[tuple[str, str]]) -> Column:
@@ -62,13 +63,156 @@ def full_match_any(c: Column, patterns: list[str], empty: bool = False) -> Colum
     return out
 
 
+def group_one(c: Column, pattern: str, default: Column | None = None, dequote: bool = False) -> Column:
+    """The pattern's first group, '' where it doesn't match (a dot matches line
+    ends too); without a pattern the default, or the text itself."""
+    if dequote:
+        c = F.translate(c, "\"'", "")
+    return F.regexp_extract(c, f"(?s){pattern}", 1) if pattern else (c if default is None else default)
+
+
+def precinct(path: Column, name_pattern: str = "", folder_pattern: str = "", n: int = -1) -> Column:
+    """By the file's name, else by the n-th folder, else ''."""
+    by_name = F.regexp_extract(F.regexp_extract(path, r"([^/\\]*)$", 1), name_pattern, 1) if name_pattern else F.lit("")
+    by_folder = F.coalesce(F.regexp_extract(folder(path, n), folder_pattern, 1) if folder_pattern else folder(path, n), F.lit(""))
+    return F.when(by_name != "", by_name).otherwise(by_folder)
+
+
+def header(c: Column) -> Column:
+    """A column's name without space around, with single underscores inside."""
+    return F.regexp_replace(F.replace(F.trim(c), F.lit(" "), F.lit("_")), "__+", "_")
+
+
+def style_digits(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\D+", "")
+
+
+# Number words, one per value from 0.
+UNITS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+
+
+def number_word(c: Column) -> Column:
+    """The first word that names a digit ("Vote for One" is 1), else null."""
+    words = F.split(F.regexp_replace(F.lower(c), r"\p{Punct}", " "), r"\s+")
+    at = F.transform(words, lambda w: F.array_position(F.lit(UNITS), w))
+    return F.get(F.filter(at, lambda i: i > 0), F.lit(0)).cast("int") - 1
+
+
+def column_title(c: Column) -> Column:
+    """Spreadsheet title of a column's number from 1: 27 is AA1."""
+    digits = F.aggregate(
+        F.sequence(F.lit(0), F.lit(6)), F.struct(c.cast("long").alias("n"), F.lit("").alias("s")),
+        lambda a, _: F.when(a["n"] > 0, F.struct(F.floor((a["n"] - 1) / 26).alias("n"), F.concat(F.char(65 + (a["n"] - 1) % 26), a["s"]).alias("s"))).otherwise(a),
+        lambda a: a["s"],
+    )
+    return F.concat(digits, F.lit("1"))
+
+
+def vote_for(option: Column) -> Column:
+    return F.regexp_extract(option, r"vote_for\s*=\s*(\d+)", 1).try_cast("int")
+
+
+def chunk_parts(name: Column) -> Column:
+    """struct(archive, chunk) of a chunk file's name."""
+    cut = lambda g: F.regexp_extract(name, r"^(.*)_chunk_(.*)\.csv$", g)
+    return F.struct(cut(1).alias("archive"), cut(2).alias("chunk"))
+
+
+def bucket_path(url: Column) -> Column:
+    """struct(scheme, bucket, prefix, name) of an object's address."""
+    cut = lambda g: F.regexp_extract(url, r"^([a-z0-9]+)://([^/]+)/(?:(.*)/)?([^/]*)$", g)
+    return F.struct(*[cut(i).alias(k) for i, k in enumerate(("scheme", "bucket", "prefix", "name"), 1)])
+
+
+# Misread common words on printed summaries, in upper case, in
+# the order in which they are put right; the last two only in short lines.
+SUMMARY_WORDS = [
+    (r"[WHM]U[WN][I1L!l|T]C[I1L!l|T][FP]A[L\\!]", "MUNICIPAL"), (r"SCH[ODU0GC@][ODU0GC@][L\\!]", "SCHOOL"), (r"[Q@][I1L!l|]", "Q1"), ("[Q@]2", "Q2"),
+    ("[J3]U[D0OB]G[EF]", "JUDGE"), (r"[DO0B][I1L!l|T]STR[I1L!l|T]C[TY1]", "DISTRICT"), ("W/[I1L!l|]", "W/I"), ("[RK][EF]F[EF][RK][EF]N[D0O]UM", "REFERENDUM"),
+    ("[HMW][EF][HMW]B[EF]R", "MEMBER"), (r"\s[ODU0GC@][EF]\s", " OF "), (r"\s[TY1F]H[EF]\s", " THE "), ("[WHM]A[YV][ODU0GC@][RK]", "MAYOR"),
+    ("SU[FP][EF][RK][YV][I1L!l|T]S[ODU0GC@][RK]", "SUPERVISOR"),
+]
+SHORT_WORDS = [("[WN][ODU0GCAo]", "NO"), ("[YV][EFeo][sS]", "YES")]
+
+
+def summary_words(c: Column, rules: list[tuple[str, str]] = SUMMARY_WORDS) -> Column:
+    """Misread words put right; a job may bring rules of its own."""
+    c = folded(c, rules)
+    return F.when(F.length(c) <= 4, folded(c, SHORT_WORDS)).otherwise(c)
+
+
+def summary_line(c: Column) -> Column:
+    """A line of a printed summary: upper case, without trailing plus signs,
+    look-alike signs as letters, words put right, most punctuation dropped."""
+    c = F.trim(F.regexp_replace(F.upper(c), r"\s*[{+>]+$", ""))
+    c = folded(c, [("[\u00a2\u00a9\u0080\u20ac]", "C"), ("[\u00c9\u00e9]", "E"), ("\u201c", "I"), ("\u00a5", "V"), ("\u00a3", "L")])
+    return F.regexp_replace(summary_words(c), r"[*\-_,~{}+<>=\"|\u20140\u201d\u2019;]", "")
+
+
+def odd_character(c: Column) -> Column:
+    """struct(char, code) of the first character that a summary line should
+    not have; nulls if there is none."""
+    found = F.nullif(F.regexp_extract(c, r"([^A-Z0-9()\s/:.])", 1), F.lit(""))
+    return F.struct(found.alias("char"), F.lower(F.hex(F.ascii(found))).alias("code"))
+
+
+def plain(c: Column) -> Column:
+    """Latin letters without marks and plain quotes and dashes."""
+    letters, bare = "".join(_BARE), "".join(_BARE.values())
+    return folded(F.translate(c, letters, bare), [("ß", "ss"), ("[æ]", "ae"), ("[Æ]", "AE"), ("[œ]", "oe"), ("[Œ]", "OE"), ("…", "...")])
+
+
+def _bare() -> dict[str, str]:
+    import unicodedata
+
+    found = {chr(i): unicodedata.normalize("NFKD", chr(i))[0] for i in range(0xC0, 0x250) if unicodedata.decomposition(chr(i)) and unicodedata.normalize("NFKD", chr(i))[0].isascii()}
+    return found | dict(zip("‘’‚“”„–—−\u00a0", "''," + '"""' + "--- ", strict=True))
+
+
+_BARE = _bare()
+
+
+def without_target(c: Column) -> Column:
+    """The text after a voting target that was read as one character."""
+    return F.regexp_replace(c, r"^\S\s", "")
+
+
+def shortened(c: Column, n: int) -> Column:
+    return F.replace(F.substring(c, 1, n), F.lit("\n"), F.lit(" "))
+
+
+def positions(c: Column, sub: str) -> Column:
+    """Offsets from 0 of a substring, none overlapping the one before."""
+    parts = F.split(c, F.lit("\\Q" + sub + "\\E"))
+    ends = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.length(x)) + i * len(sub))
+    return F.slice(ends, F.lit(1), F.size(parts) - 1)
+
+
+def coordinate(c: Column) -> Column:
+    """A coordinate string without quotes; a lost leading zero put back."""
+    c = F.regexp_replace(c.cast("string"), "^'|'$", "")
+    return F.when(F.length(c) < 6, F.concat(F.lit("0"), c)).otherwise(c)
+
+
+def keep_region(c: Column) -> Column:
+    """Whether a region's text is more than a stray mark."""
+    return (F.length(c) >= 4) | F.lower(c).isin("yes", "no")
+
+
+def flag(c: Column, default: bool = False) -> Column:
+    """Yes, true, y, t, 1 and their opposites; blank is the default, other
+    words are null."""
+    x = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.when(x == "", F.lit(default)).when(x.isin("yes", "true", "t", "y", "1"), True).when(x.isin("no", "false", "f", "n", "0"), False)
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """1 - edits / longer length; two empty texts are equal."""
     longer = F.greatest(F.length(a), F.length(b))
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """(len a + len b - indel distance) / (len a + len b), the distance being
     insertions and deletions only; batches come by Arrow."""

@@ -26,7 +26,7 @@ def cvr_unified(cvr: DataFrame, options: DataFrame) -> DataFrame:
     unrecognised selections. cvr: ballot_id, contest, slot, selection. An
     overvote (slots come in order, so in the first) silences the others."""
     known = options.select("contest", F.col("option").alias("name")).distinct()
-    df = cvr.withColumn("name", clean_selection(F.col("selection"))).join(F.broadcast(known.withColumn("official", F.lit(True))), ["contest", "name"], "left")
+    df = cvr.withColumn("name", clean_selection(F.col("selection"))).join(known.withColumn("official", F.lit(True)), ["contest", "name"], "left")
     kind = F.when(F.col("selection") == "overvote", "o").when(F.col("selection") == "undervote", "u").when(F.col("selection") == "write-in:", "w").when(F.col("official"), "v").otherwise("x")
     df = df.withColumn("kind", kind)
     n = lambda k: F.count_if(F.col("kind") == k)

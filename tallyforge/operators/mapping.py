@@ -9,19 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLDS = {"contest": 0.60, "option": 0.75}
-
-
-def ratio(a: str, b: str) -> float:
-    a, b = a.lower(), b.lower()
-    if not a or not b:
-        return 0.0
-    row = [0] * (len(b) + 1)
-    for p in a:
-        diagonal = 0
-        for j, q in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if p == q else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+from ..functions.fuzzy import ACCEPT, ratio
 
 
 def mapped(rois: DataFrame, contests: DataFrame, slip: int = 3) -> DataFrame:
@@ -32,14 +20,17 @@ def mapped(rois: DataFrame, contests: DataFrame, slip: int = 3) -> DataFrame:
     at most `slip` regions on until the name and then its options match; the
     regions used are consumed. One style is one small group."""
 
+    def alike(a: str, b: str) -> float:
+        return ratio(a.lower(), b.lower()) if a and b else 0.0
+
     def one(regions: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         regions = regions.sort_values("roi_idx")
         texts, ids, out, at = regions["ocr_text"].tolist(), regions["roi_idx"].tolist(), [], 0
         for c in wanted.sort_values("contest_ord").itertuples():
             n = len(c.options)
             for start in range(at, min(at + slip + 1, len(texts) - n)):
-                scores = [ratio(o, t) for o, t in zip(c.options, texts[start + 1 : start + 1 + n], strict=False)]
-                if ratio(c.contest, texts[start]) >= THRESHOLDS["contest"] and min(scores, default=1) >= THRESHOLDS["option"]:
+                scores = [alike(o, t) for o, t in zip(c.options, texts[start + 1 : start + 1 + n], strict=False)]
+                if alike(c.contest, texts[start]) >= ACCEPT["contest"] and min(scores, default=1) >= ACCEPT["options"]:
                     out += [(c.style_num, c.contest, o, int(ids[start + 1 + i]), True) for i, o in enumerate(c.options)]
                     at = start + 1 + n
                     break

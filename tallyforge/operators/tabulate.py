@@ -28,7 +28,7 @@ def option_totals(votes: DataFrame, options: DataFrame) -> DataFrame:
     options: contest, option. A contest without votes has no percentage."""
     got = votes.groupBy("contest", "option").agg(F.sum("num_votes").cast("long").alias("votes"))
     total = got.groupBy("contest").agg(F.sum("votes").alias("t_"))
-    df = options.join(got, ["contest", "option"], "left").join(F.broadcast(total), "contest", "left")
+    df = options.join(got, ["contest", "option"], "left").join(total, "contest", "left")
     return df.select("contest", "option", F.coalesce("votes", F.lit(0)).cast("long").alias("votes"), F.round(F.try_divide(F.coalesce("votes", F.lit(0)) * 100.0, F.col("t_")), 4).alias("pct"))
 
 
