@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import bits, text
+from ..functions import bits, payload, text
 from ..sources import tables
 from .registry import query
 
@@ -35,10 +35,12 @@ def effective_style_num(spark, at):
     return tables.table(spark, at, "part").select("p_partkey", style.alias("style"), sheet.alias("sheet0"))
 
 
-@query("select p_partkey, cast((p_partkey * 70001) >> 16 as integer) as style, ((p_partkey * 70001) & 65535) = 0 as clean from part")
+@query("select p_partkey, cast(c >> 16 as integer) as style, c & 255 = 1 and (c >> 8) & 255 in (1, 2) as clean from (select p_partkey, (p_partkey << 16) | ((p_partkey % 4) << 8) | case when p_size = 7 then 2 else 1 end as c from part)")
 def logical_style(spark, at):
-    code = F.col("p_partkey") * 70001
-    return tables.table(spark, at, "part").select("p_partkey", F.shiftright(code, 16).cast("int").alias("style"), (code.bitwiseAND(F.lit(65535)) == 0).alias("clean"))
+    p = F.col("p_partkey")
+    code = F.shiftleft(p, 16).bitwiseOR(F.shiftleft(p % 4, 8)).bitwiseOR(F.when(F.col("p_size") == 7, 2).otherwise(1))
+    style, clean = payload.logical_style(code)
+    return tables.table(spark, at, "part").select("p_partkey", style.alias("style"), clean.alias("clean"))
 
 
 @query("select page_id, case when len(p) - 1 > 3 then p[4] end as folder3, case when len(p) - 1 > 2 then p[3] end as folder2, regexp_extract(url, '^([a-z]+)://', 1) as scheme, regexp_extract(url, '://([^/?#]+)', 1) as host from (select *, regexp_split_to_array(url, '[/\\\\]') as p from pages)")
