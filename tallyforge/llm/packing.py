@@ -249,11 +249,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     offsets = per.select("part", "rest", (F.sum("c").over(by_rest) - F.col("c")).alias("before"))
     # Full windows are numbered by part and row: parts can't hold 2^40 windows.
     n_parts = per.agg(F.count("*").alias("n")).first()["n"]
-    own = Window.partitionBy("part", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sized(offsets, n_parts, 32), ["part", "rest"])
     rows = rows.withColumn("rank", F.col("before") + F.col("k"))
     rows = rows.withColumn("first_full", F.col("part").cast("long") * F.lit(1 << 40) + F.col("row") * F.lit(1 << 14))
-    del own
     table = spark.createDataFrame(places or [(0, 0, 0, 0, 0, 0)], "rest int, lo long, hi long, seq long, at long, step long")
     lists = table.groupBy("rest").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "seq", "at", "step"))).alias("ps"))
     rows = rows.join(F.broadcast(lists), "rest", "left")  # at most TRIPLES * 3 + 3 * WINDOW entries

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import bind, written
 
 EPSILON, DELTA = 0.005, 0.05
-#: Strata with cutoffs of their own; other languages form one stratum more.
+#: Strata that get cutoffs, those with the most labels; documents of other
+#: languages are judged by the base rules alone.
 STRATA = 64
 #: feature: cutoffs from the loosest to the strictest.
 CUTOFFS = {
