@@ -33,11 +33,18 @@ def line_count(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit("\n"))) + 1).cast("int")
 
 
-def clean_name(c: Column) -> Column:
-    """A candidate's name: write-in variants made one, marks before and party
-    codes after it dropped."""
-    c = F.trim(folded(c, [(r"^(\([cr]\)|@)\s*", ""), (r"\s+(DEM|REP|LIB|GRN|NPA)$", "")]))
-    return F.when(F.lower(c).rlike(r"^write[ -]?in"), "writein").otherwise(c)
+# Misread forms of "write-in", and party codes after a name, of
+# which one letter may have been misread.
+WRITE_INS = "(write-in)|(witeing)|(wnte-in)|W[rha]ite In"
+PARTY_CODES = ["REP", "DEM", "NPA", "LIB", "GRN", "REF"]
+PARTY_END = "|".join(PARTY_CODES + [c[:i] + "." + c[i + 1 :] for i in range(3) for c in PARTY_CODES])
+
+
+def clean_name(c: Column, writein: str = "write-in:") -> Column:
+    """A candidate's name: write-in variants made one, marks before it and a
+    party code after it dropped, "Yes" put right."""
+    c = F.when(c.rlike(f"(?i){WRITE_INS}"), writein).otherwise(c)
+    return folded(c, [(r"^\s*(@|\([cr]\))*\s*", ""), (rf"\s*({PARTY_END})$", ""), ("^[YV][ea]s$", "Yes")])
 
 
 def ballot_id(path: Column) -> Column:

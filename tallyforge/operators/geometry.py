@@ -55,3 +55,36 @@ def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     new = rows.withColumn("n_", F.when(F.lag(value).over(w) == F.col(value), 0).otherwise(1)).withColumn("run", F.sum("n_").over(w))
     return new.groupBy(key, "run", value).agg(F.min(order).alias("start"), F.count("*").alias("length"))
+
+
+def mean_places(marks: DataFrame, key: str) -> DataFrame:
+    """Mean place per key and mark number. marks: key, member, pos, x."""
+    return marks.groupBy(key, "pos").agg(F.avg("x").alias("mean"))
+
+
+def distortions(marks: DataFrame, key: str) -> DataFrame:
+    """key, member, metric: sum of distances from the mean places."""
+    d = marks.join(mean_places(marks, key), [key, "pos"])
+    return d.groupBy(key, "member").agg(F.round(F.sum(F.abs(F.col("x") - F.col("mean"))), 2).alias("metric"))
+
+
+def most_average(marks: DataFrame, key: str, limit: float = 1000, drop: int = 10, least: int = 40) -> DataFrame:
+    """key, member, metric of the member nearest to its key's mean places, the
+    first of equals. Keys of more than `least` members lose up to `drop` whose
+    metric is above the limit, the last ones first, and are judged again. Fewer
+    than three members: the first."""
+    one = distortions(marks, key)
+    w = Window.partitionBy(key)
+    ranked = one.withColumn("n", F.count("*").over(w))
+    far = ranked.where((F.col("n") > least) & (F.col("metric") > limit)).withColumn("i", F.row_number().over(w.orderBy(F.desc("member")))).where(F.col("i") <= drop)
+    again = distortions(marks.join(far.select(key, "member"), [key, "member"], "left_anti"), key).withColumn("n", F.count("*").over(w))
+    best = lambda df: df.groupBy(key).agg(F.min_by(F.struct("member", "metric"), F.struct(F.when(F.col("n") < 3, 0.0).otherwise(F.col("metric")).alias("m"), "member")).alias("r")).select(key, "r.member", "r.metric")
+    return best(again)
+
+
+def timing_fallback(styles: DataFrame, constant: list[int]) -> DataFrame:
+    """styles (style_ord, vector) with the vector used: its own, else that of
+    the first style before it that has one, else the constant."""
+    own = F.when(F.size(F.coalesce("vector", F.array().cast("array<int>"))) > 0, F.col("vector"))
+    w = Window.partitionBy(F.lit(0)).orderBy("style_ord").rowsBetween(Window.unboundedPreceding, -1)  # one row per style
+    return styles.withColumn("used", F.coalesce(own, F.first(own, ignorenulls=True).over(w), F.lit(constant)))

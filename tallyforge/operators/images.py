@@ -66,12 +66,12 @@ def ratio_matches(points: DataFrame, others: DataFrame, ratio: float = 0.7) -> D
 
 @F.pandas_udf(T.DoubleType())
 def mean_square(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Mean squared difference of two images (binary PBM or PGM), the smaller
+    """Mean squared difference of two images (PBM, PGM or PNG), the smaller
     one padded with white."""
-    from .mapping import read_pbm
+    from .mapping import read_image
 
     def one(x: bytes, y: bytes) -> float:
-        p, q = read_pbm(x).astype(float), read_pbm(y).astype(float)
+        p, q = read_image(x).astype(float), read_image(y).astype(float)
         h, w = max(p.shape[0], q.shape[0]), max(p.shape[1], q.shape[1])
         p, q = (np.pad(m, ((0, h - m.shape[0]), (0, w - m.shape[1])), constant_values=255.0) for m in (p, q))
         return float(((p - q) ** 2).mean())
@@ -115,22 +115,22 @@ def timing_marks(image: np.ndarray, width: int = 60, dark: int = 128, least: int
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in "xywh"])))
 def marks_of(content: pd.Series) -> pd.Series:
-    from .mapping import read_pbm
+    from .mapping import read_image
 
-    return content.map(lambda c: [dict(zip("xywh", m, strict=True)) for m in timing_marks(read_pbm(c))])
+    return content.map(lambda c: [dict(zip("xywh", m, strict=True)) for m in timing_marks(read_image(c))])
 
 
 def mean_template(images: DataFrame, key: str = "style_num") -> DataFrame:
     """Mean image per key with values stretched to 0..255, as (key, h, w,
     pixels). images: key, content. Sums are made per batch and added up, so no
     task holds a key's images; a key's images have one size."""
-    from .mapping import read_pbm
+    from .mapping import read_image
 
     def sums(batches):
         for pdf in batches:
             got: dict = {}
             for k, c in zip(pdf[key], pdf["content"], strict=True):
-                p = read_pbm(c).astype(np.int64)
+                p = read_image(c).astype(np.int64)
                 n, total = got.get((k, p.shape), (0, 0))
                 got[k, p.shape] = n + 1, total + p
             yield pd.DataFrame([(k, *shape, n, total.tobytes()) for (k, shape), (n, total) in got.items()], columns=[key, "h", "w", "n", "total"])

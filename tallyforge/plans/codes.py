@@ -79,12 +79,12 @@ def word_corrections(spark, at):
     return tables.table(spark, at, "documents").select("doc_id", F.md5(fixed).alias("fixed"))
 
 
-@query("""with n as (select p_partkey, trim(regexp_replace(regexp_replace(raw, '^(\\([cr]\\)|@)\\s*', ''), '\\s+(DEM|REP|LIB|GRN|NPA)$', '')) as name from (select p_partkey, case p_partkey % 4 when 0 then '(c) ' || p_name when 1 then p_name || ' DEM' when 2 then 'Write-in ' || p_size else p_name end as raw from part))
- select p_partkey, case when regexp_matches(lower(name), '^write[ -]?in') then 'writein' else name end as name from n""")
+@query(f"""with n as (select p_partkey, case when regexp_matches(raw, '(?i){text.WRITE_INS}') then 'write-in:' else raw end as raw from (select p_partkey, case p_partkey % 5 when 0 then '(c) ' || p_name when 1 then p_name || ' DFM' when 2 then 'Wnte-in ' || p_size when 3 then 'Vas' else p_name end as raw from part))
+ select p_partkey, regexp_replace(regexp_replace(regexp_replace(raw, '^\\s*(@|\\([cr]\\))*\\s*', ''), '\\s*({text.PARTY_END})$', ''), '^[YV][ea]s$', 'Yes') as name from n""")
 def name_clean(spark, at):
     p = tables.table(spark, at, "part")
-    k = F.col("p_partkey") % 4
-    raw = F.when(k == 0, F.concat(F.lit("(c) "), "p_name")).when(k == 1, F.concat("p_name", F.lit(" DEM"))).when(k == 2, F.concat(F.lit("Write-in "), F.col("p_size").cast("string"))).otherwise(F.col("p_name"))
+    k = F.col("p_partkey") % 5
+    raw = F.when(k == 0, F.concat(F.lit("(c) "), "p_name")).when(k == 1, F.concat("p_name", F.lit(" DFM"))).when(k == 2, F.concat(F.lit("Wnte-in "), F.col("p_size").cast("string"))).when(k == 3, "Vas").otherwise(F.col("p_name"))
     return p.select("p_partkey", text.clean_name(raw).alias("name"))
 
 

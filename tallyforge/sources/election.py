@@ -111,3 +111,26 @@ def style_matrix(wide: DataFrame, contest: str) -> DataFrame:
     styles = [c for c in wide.columns if c != contest]
     rows = wide.select(contest, *[F.col(f"`{c}`").cast("string").alias(c) for c in styles]).unpivot([contest], styles, "style_num", "v")
     return rows.where(F.col("v").contains("1")).select("style_num", F.col(contest).alias("contest"))
+
+
+def vendor_records(spark: SparkSession, path: str) -> DataFrame:
+    """One row per session of the CvrExport_<n>.json members of archives."""
+    from . import archives
+
+    found = archives.members(spark, path, content=True, pattern=r"(?:.*/)?CvrExport_\d+\.json")
+    return sessions(found.select(F.col("content").cast("string").alias("value")))
+
+
+def overrides(spark: SparkSession, lines: list[str], names: list[str]) -> DataFrame:
+    """Settings whose values are short comma-separated rows, as a table of
+    texts; quotes are removed."""
+    rows = [tuple(x.strip() for x in next(csv.reader([line], skipinitialspace=True))) for line in lines]
+    if bad := [r for r in rows if len(r) != len(names)]:
+        raise ValueError(f"not {len(names)} fields: {bad[0]}")
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+
+
+def overridden(rows: DataFrame, key: str, value: str, changes: DataFrame) -> DataFrame:
+    """rows with value replaced where changes (key, value) have the key."""
+    new = changes.select(key, F.col(value).alias("new_"))
+    return rows.join(new, key, "left").withColumn(value, F.coalesce("new_", value)).drop("new_").select(*rows.columns)

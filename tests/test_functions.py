@@ -198,3 +198,79 @@ def test_styles(spark):
     assert {r["style_num"]: r["same_as"] for r in s.canonical(eq).collect()} == {"a": "a", "b": "a", "c": "c"}
     assert s.excluded_types(spark.createDataFrame([("5",), ("9",), ("x",), (None,)], "style_num string"), 5, 9).count() == 1
     assert s.orphan_regions(spark.createDataFrame([("a", 4), ("a", 3), ("b", 0)], "style_num string, min_rois_num int")).orderBy("style_num").collect()[0]["max_orphans"] == 2
+
+
+def png(grid, filters, colour=0, depth=8):
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    h, w = grid.shape[:2]
+    rows = np.packbits(grid, axis=1) if depth == 1 else grid.reshape(h, -1)
+    step = max(1, rows.shape[1] // w) if depth == 8 else 1
+    out, up = b"", np.zeros(rows.shape[1], int)
+    for y, kind in zip(range(h), filters):
+        row = rows[y].astype(int)
+        left, corner = np.concatenate([np.zeros(step, int), row[:-step]]), np.concatenate([np.zeros(step, int), up[:-step]])
+        p = left + up - corner
+        near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        out += bytes([kind]) + bytes(((row - (0, left, up, (left + up) // 2, near)[kind]) & 255).astype(np.uint8) if kind else row.astype(np.uint8))
+        up = row
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+def test_images_are_read():
+    from tallyforge.operators import mapping as m
+
+    rng = np.random.default_rng(1)
+    grey = rng.integers(0, 256, (10, 13), dtype=np.uint8)
+    assert (m.read_image(png(grey, [0, 1, 2, 3, 4] * 2)) == grey).all()
+    colour = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    assert (m.read_image(png(colour, [4, 3, 2, 1, 0], 2)) == (colour @ [0.299, 0.587, 0.114]).round()).all()
+    bits = rng.integers(0, 2, (6, 11), dtype=np.uint8)
+    assert (m.read_image(png(bits, [0, 1, 2, 4, 3, 0], depth=1)) == bits * 255).all()
+    assert (m.read_image(b"P4\n11 6\n" + np.packbits(bits, axis=1).tobytes()) == (1 - bits) * 255).all()
+    page, blank = np.zeros((9, 500), np.uint8), np.full((9, 500), 255, np.uint8)
+    assert len(m.printed_pages([page, blank])) == 1 and len(m.printed_pages([page, page, page])) == 2
+
+
+def test_most_average_and_fallback(spark):
+    from tallyforge.operators import geometry as g
+
+    rng = random.Random(8)
+    members = {(k, i): [p + rng.randint(-9, 9) + (900 if k == "many" and i in (5, 44) else 0) for p in (0, 100, 200)] for k, n in (("many", 50), ("few", 2), ("some", 7)) for i in range(n)}
+    df = spark.createDataFrame([(k, i, p, float(x)) for (k, i), xs in members.items() for p, x in enumerate(xs)], "k string, member int, pos int, x double")
+
+    def metrics(own):
+        mean = [sum(v) / len(own) for v in zip(*own.values(), strict=True)]
+        return {i: round(sum(abs(a - b) for a, b in zip(v, mean, strict=True)), 2) for i, v in own.items()}
+
+    want = {}
+    for k in ("many", "few", "some"):
+        own = {i: v for (q, i), v in members.items() if q == k}
+        if len(own) > 40:
+            far = [i for i in sorted(own, reverse=True) if metrics(own)[i] > 1000][:10]
+            own = {i: v for i, v in own.items() if i not in far}
+        got = metrics(own)
+        want[k] = min(own) if len(own) < 3 else min(got, key=lambda i: (got[i], i))
+    assert {r["k"]: r["member"] for r in g.most_average(df, "k").collect()} == want
+    s = spark.createDataFrame([(0, None), (1, [1, 2]), (2, []), (3, [5])], "style_ord int, vector array<int>")
+    assert [r["used"] for r in g.timing_fallback(s, [9]).orderBy("style_ord").collect()] == [[9], [1, 2], [1, 2], [5]]
+
+
+def test_overrides_and_vendor_records(spark, tmp_path):
+    import zipfile
+
+    from tallyforge.sources import election as e
+
+    o = e.overrides(spark, ["101, 7", "102,'8'", '"103","9"'], ["ballot_id", "style_num"])
+    rows = spark.createDataFrame([("101", "1", 5), ("104", "2", 6)], "ballot_id string, style_num string, n int")
+    assert {tuple(r) for r in e.overridden(rows, "ballot_id", "style_num", o).collect()} == {("101", "7", 5), ("104", "2", 6)}
+    with pytest.raises(ValueError):
+        e.overrides(spark, ["1,2,3"], ["a", "b"])
+    with zipfile.ZipFile(tmp_path / "v.zip", "w") as z:
+        z.writestr("CvrExport_3.json", '{"Sessions": [{"TabulatorId": 1, "BatchId": 2, "RecordId": 3, "Original": {"BallotTypeId": 4, "Cards": [{"Id": 5}]}}]}')
+        z.writestr("Manifest.json", "{}")
+    assert [tuple(r) for r in e.vendor_records(spark, f"file://{tmp_path}/*.zip").collect()] == [("00001_00002_000003", None, 4, 5)]
