@@ -182,12 +182,15 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     targets = targets or TARGETS
     new = {"n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS)}
     carry = [c for c in carry or docs.columns if c.lower() not in new]
-    members = memberships(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]), labels)
-    rows = written(members.select(*[F.col(f"`{c}`") for c in carry], "n_tokens", "u_", *[f"p_{d}" for d in DOMAINS]), "mixing-members")
+    # What is carried goes in one struct, so no name in it can clash with one in use here.
+    own = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("own_")
+    members = memberships(docs.select("doc_id", "text", own), labels)
+    rows = written(members.select("own_", "n_tokens", "u_", *[f"p_{d}" for d in DOMAINS]), "mixing-members")
     moves, _ = fitted(rows.select("n_tokens", *[f"p_{d}" for d in DOMAINS]), targets)
-    return rows.withColumn("rate", rate(moves)).withColumn("copies", F.floor(F.col("rate") + F.col("u_")).cast("int")).drop("u_")
+    copies = F.floor(F.col("rate") + F.col("u_")).cast("int").alias("copies")
+    return rows.withColumn("rate", rate(moves)).select("own_.*", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies)
 
 
 def repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Each row as often as its copies say."""
-    return rows.where("copies > 0").withColumn("_", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
+    return rows.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_")).select(*columns)

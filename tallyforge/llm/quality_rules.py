@@ -89,12 +89,12 @@ def _counted(df: DataFrame) -> DataFrame:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with the counts and features; its own columns of those names, if
-    any, are dropped. A null text has no words, a null lang is ''."""
-    extra = [c for c in docs.columns if c.lower() not in {*COUNTS, *CUTOFFS, "text_", "lang_", "key_"}]
+def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """own_ (a struct of the carried columns, so that no name in it can clash),
+    key_, the counts and features. A null text has no words, a null lang is ''."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    return _counted(docs.select(*[F.col(f"`{c}`") for c in extra], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"), lang.alias("lang_")))
+    own = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("own_")
+    return _counted(docs.select(own, F.col("doc_id").cast("long").alias("key_"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"), lang.alias("lang_")))
 
 
 def tail(n: int, k: int, p: float) -> float:
@@ -141,10 +141,9 @@ def judged(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -
     carry = [c for c in carry or docs.columns if c.lower() not in {*COUNTS, "kept"}]
     if not {"doc_id", "text"} <= named:
         raise ValueError("docs needs doc_id and text")
-    rows = measured(docs)
-    key = F.col("doc_id").cast("long").alias("key_")
-    feats = written(rows.select(*[F.col(f"`{c}`") for c in carry], key, "lang_", *COUNTS, *CUTOFFS), "quality-features")
+    rows = measured(docs, carry)
+    feats = written(rows.select("own_", "key_", "lang_", *COUNTS, *CUTOFFS), "quality-features")
     best = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     good = feats.where("not base_failed").select("key_", "lang_", *CUTOFFS).join(best, F.col("key_") == F.col("doc_id"), "left_semi")
     found = cutoffs(good)
-    return feats.withColumn("kept", ~F.col("base_failed") & ~verdict(found)).drop("key_", "lang_", *CUTOFFS)
+    return feats.select("own_.*", *COUNTS, (~F.col("base_failed") & ~verdict(found)).alias("kept"))

@@ -22,7 +22,8 @@ def awkward(spark):
     """Nulls, empty and long texts, repeated rows, columns with clashing names."""
     long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
     rows = [(1, None, None), (2, "", "en"), (3, "  \n\t ", "en"), (None, "no id here at all, and some more words follow it now", "fr"), (4, "same text of some words here", "en"), (4, "same text of some words here", "en"), (5, "Ünïcode é 😀 text", "xx"), (6, long, "en"), (7, "a\x00b\x85c d", "en")]
-    return spark.createDataFrame([(i, t, lang, "s", 1, 9, 8.0, "k", True, "fp") for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, n_words int, score double, key string, kept boolean, fp string")
+    clashing = {"n_words": 9, "score": 8.0, "key": "k", "kept": True, "fp": "fp", "bins": "b", "hits": 3, "w_": 5, "u_": 0.5, "own_": "o", "key_": 1, "copies": 7, "a": 2, "ids": "i"}
+    return spark.createDataFrame([(i, t, lang, "s", 1, *clashing.values()) for i, t, lang in rows], ["doc_id", "text", "lang", "source", "n_chars", *clashing])
 
 
 @pytest.fixture(scope="module")
@@ -357,7 +358,7 @@ def test_nearest_recall_and_ties(spark):
         assert len(got[i]) == 5 and all(abs(s[v] - c) < 1e-12 for v, c in got[i])
     assert hit / total >= 0.9 and 9050 not in got
     assert [v for v, _ in got[150]] == [7, 100, 101, 102, 103]
-    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.1]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    few = spark.createDataFrame([(0, [1.0, 0.0], 1, "x"), (1, [-1.0, 0.1], 2, "y"), (2, [0.0, 1.0], 3, "z")], "vec_id long, embedding array<float>, id int, v string")
     assert [r["vec_id"] for r in ann.nearest(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [2, 1]
     assert ann.nearest(few.limit(0), few).count() == 0
 
@@ -387,7 +388,9 @@ def test_pages_query(spark):
 
         inner = r["html"].split("<article>")[1].split("</article>")[0]
         assert r["text"] == " ".join(h.unescape(re.sub("<[^>]*>", " ", inner)).split()) and r["n_chars"] == len(r["text"])
-    odd = spark.createDataFrame([(1, None, None), (None, "u", "")], "page_id long, url string, html string")
+    odd = spark.createDataFrame([(1, None, None, "t", 5), (None, "u", "", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    long = "<article>" + "<p>word &amp; more</p>" * 40_000 + "</article>"
+    assert html_text.main_text(long) == ("word & more " * 40_000).strip() and html_text.main_texts(odd.limit(0)).count() == 0
     assert [(r["text"], r["n_chars"]) for r in html_text.main_texts(odd).collect()] == [("", 0), ("", 0)]
 
 
