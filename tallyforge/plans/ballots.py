@@ -11,8 +11,7 @@ from .registry import COMPARED, GAPS, HEADS, MARKS, VOTED, query
 
 
 def _votes(spark: SparkSession, at: str) -> DataFrame:
-    m = tables.marks(spark, at)
-    return votes.evaluated(votes.classified(m, votes.adaptive_thresholds(m)))
+    return votes.evaluated(votes.classified(votes.with_thresholds(tables.marks(spark, at))))
 
 
 def _options(spark: SparkSession, at: str) -> DataFrame:
@@ -31,8 +30,7 @@ def adaptive_thresholds(spark, at):
 
 @query(f"{VOTED} select ballot_id, contest, \"option\", o1, o2, o3, pmv, has_indication, num_marks from classes")
 def classify_marks(spark, at):
-    m = tables.marks(spark, at)
-    return votes.classified(m, votes.adaptive_thresholds(m)).select("ballot_id", "contest", "option", F.col("opt_ord.l_linenumber").alias("o1"), F.col("opt_ord.l_partkey").alias("o2"), F.col("opt_ord.l_suppkey").alias("o3"), "pmv", "has_indication", "num_marks")
+    return votes.classified(votes.with_thresholds(tables.marks(spark, at))).select("ballot_id", "contest", "option", F.col("opt_ord.l_linenumber").alias("o1"), F.col("opt_ord.l_partkey").alias("o2"), F.col("opt_ord.l_suppkey").alias("o3"), "pmv", "has_indication", "num_marks")
 
 
 @query(f"{VOTED} select ballot_id, contest, \"option\", o1, o2, o3, overvotes, undervotes, num_votes from votes")

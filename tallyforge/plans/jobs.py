@@ -139,7 +139,7 @@ def extractvote(job: Job) -> None:
     about = targets.select("style_num", "contest", "option", "opt_ord", "vote_for")
     marks = values.join(front.select("ballot_id", "style_num", "precinct", "chunk"), "ballot_id").join(about, ["style_num", "contest", "option"])
     # The order of targets on the ballot decides which marginal marks are promoted.
-    job.store.save(votes.evaluated(votes.classified(marks, votes.adaptive_thresholds(marks))), "marks", chunk="chunk")
+    job.store.save(votes.evaluated(votes.classified(votes.with_thresholds(marks))), "marks", chunk="chunk")
 
 
 @op

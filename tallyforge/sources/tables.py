@@ -12,12 +12,15 @@ def table(spark: SparkSession, at: str, name: str) -> DataFrame:
 
 def marks(spark: SparkSession, at: str) -> DataFrame:
     """Order lines as measured voting targets. Only the needed columns are
-    read; part and customer are the small sides, left to AQE to broadcast."""
+    read; part and customer are the small sides, left to AQE to broadcast. The
+    join by order comes last, so the marks leave it partitioned by ballot and
+    what goes on by ballot needs no other shuffle."""
     line = table(spark, at, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
     order = table(spark, at, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     customer = table(spark, at, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     part = table(spark, at, "part").select("p_partkey", "p_type", "p_brand")
-    df = line.join(part, line.l_partkey == part.p_partkey).join(order, line.l_orderkey == order.o_orderkey).join(customer, order.o_custkey == customer.c_custkey)
+    orders = order.join(customer, order.o_custkey == customer.c_custkey)
+    df = line.join(part, line.l_partkey == part.p_partkey).join(orders, line.l_orderkey == orders.o_orderkey)
     return df.select(
         F.col("l_orderkey").alias("ballot_id"), F.col("p_type").alias("contest"), F.col("p_brand").alias("option"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("opt_ord"), (F.col("l_quantity") * 6).cast("int").alias("pmv"),
