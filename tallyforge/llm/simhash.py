@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, sized, written
 from .graph import components
 
 MAX_BITS = 3
@@ -142,7 +142,8 @@ def links(distinct: DataFrame) -> DataFrame:
         counts = groups.agg(F.count_if(F.col("n") > 2).alias("many"), F.count_if(F.col("n") > HOT).alias("hot")).first()
         if not counts["many"]:
             break
-        many = groups.where("n > 2").select(*keys, "n")
+        # Keys of few fingerprints are most; those of several fit a broadcast up to its checked size.
+        many = sized(groups.where("n > 2").select(*keys, "n"), counts["many"], 96)
         members = rows.join(many, keys)
         cold = members if level == 2 else members.where(F.col("n") <= HOT)
         key = F.xxhash64(*keys) if level else F.col("k0")
