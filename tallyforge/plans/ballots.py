@@ -136,11 +136,12 @@ def cmp_summary(spark, at):
 @query(f"""{VOTED}, {COMPARED}, p as (select ballot_id, max(precinct) as precinct from marks group by all), j as (select * from ballots join p using (ballot_id))
  select precinct, count(*) as ballots, count(*) filter (where agreed = 0) as disagreed, round(count(*) filter (where agreed = 0) * 100.0 / (select count(*) from ballots), 2) as discrepancy_all, round(count(*) filter (where agreed = 0) * 100.0 / count(*), 2) as discrepancy from j group by precinct""")
 def precinct_discrepancy(spark, at):
-    b = compare_ballots(spark, at).join(tables.marks(spark, at).groupBy("ballot_id").agg(F.max("precinct").alias("precinct")), "ballot_id")
+    """The precinct comes from the index; the total is a window over the
+    precincts' rows, so the comparison is made once."""
+    b = compare_ballots(spark, at).join(tables.bif(spark, at).select("ballot_id", "precinct"), "ballot_id")
     per = b.groupBy("precinct").agg(F.count("*").alias("ballots"), F.count_if(F.col("agreed") == 0).alias("disagreed"))
-    total = per.agg(F.sum("ballots").alias("t_"))  # one row
-    df = per.join(F.broadcast(total))
-    return df.select("precinct", "ballots", "disagreed", F.round(F.col("disagreed") * 100.0 / F.col("t_"), 2).alias("discrepancy_all"), F.round(F.col("disagreed") * 100.0 / F.col("ballots"), 2).alias("discrepancy"))
+    total = F.sum("ballots").over(Window.partitionBy(F.lit(0)))  # one row per precinct
+    return per.select("precinct", "ballots", "disagreed", F.round(F.col("disagreed") * 100.0 / total, 2).alias("discrepancy_all"), F.round(F.col("disagreed") * 100.0 / F.col("ballots"), 2).alias("discrepancy"))
 
 
 @query(f"{VOTED}, {COMPARED} select contest, \"option\", count(*) filter (where diff is distinct from 0) as disagreed, count(*) filter (where diff is distinct from -1) as certified from options group by all")
