@@ -146,7 +146,10 @@ def links(distinct: DataFrame) -> DataFrame:
         many = sized(groups.where("n > 2").select(*keys, "n"), counts["many"], 96)
         members = rows.join(many, keys)
         cold = members if level == 2 else members.where(F.col("n") <= HOT)
-        key = F.xxhash64(*keys) if level else F.col("k0")
+        # Always a hash: were the key the join's own, Spark would drop the exchange as
+        # redundant, and reading the join's shuffle by mapper would part a key's rows. Keys
+        # with equal hashes are compared together, which adds no link.
+        key = F.xxhash64(F.lit("group"), *keys)
         cold = cold.select(key.alias("key"), "fp").repartition("key").sortWithinPartitions("key")
         found.append(cold.mapInPandas(_verify, "src long, dst long"))
         if level == 2 or not counts["hot"]:

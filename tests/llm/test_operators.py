@@ -321,6 +321,49 @@ def test_simhash_components(spark, awkward, empty):
     assert len(out) == 9 and {r["component_id"] for r in out if r["doc_id"] in (1, 2, 3)} == {1} and simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_keys_stay_together(spark, monkeypatch):
+    """Groups of one key must reach the comparison whole when the join before
+    it is shuffled and only turned into a broadcast while it runs."""
+    from tallyforge.llm import common, simhash
+
+    rng = random.Random(12)
+    fps = []
+    for _ in range(400):
+        fp = rng.getrandbits(64)
+        for _ in range(12):  # chains of close fingerprints
+            fps.append(fp)
+            fp ^= (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+    signed = np.array(sorted(set(fps)), np.uint64).view(np.int64)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "10m", "adaptive.advisoryPartitionSizeInBytes": "64k"}
+    conf = {f"spark.sql.{k}": v for k, v in conf.items()}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = simhash.links(common.written(spark.createDataFrame([(int(v),) for v in signed], "fp long").repartition(6), "test-fp")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    root = {int(v): int(v) for v in signed}
+
+    def find(x, parent):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    found = dict(root)
+    for r in got:
+        a, b = find(r["src"], found), find(r["dst"], found)
+        found[max(a, b)] = min(a, b)
+    u = signed.view(np.uint64)
+    for i in range(len(u)):
+        for j in np.flatnonzero(np.bitwise_count(u[i + 1 :] ^ u[i]) <= 3) + i + 1:
+            a, b = find(int(signed[i]), root), find(int(signed[j]), root)
+            root[max(a, b)] = min(a, b)
+    assert [find(int(v), found) for v in signed] == [find(int(v), root) for v in signed]
+
+
 def test_fingerprint_bits():
     import xxhash
 
