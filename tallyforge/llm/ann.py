@@ -30,6 +30,8 @@ from .common import written
 TABLES, HASHES, WIDTH, PROBES, SEED = 32, 10, 2.0, 80, 7
 #: Rows of a chunk, queries of a block, chunks that one group has at most.
 CHUNK, BLOCK, GROUP = 2048, 1024, 128
+#: Pairs that get their exact score at once.
+PAIRS = 1 << 18
 SLACK = 1e-9
 
 
@@ -77,13 +79,26 @@ def _packed(rows: int):
     return run
 
 
+def _distinct(ids: np.ndarray, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by id, those that repeat both id and vector once, and where each id starts."""
+    o = np.argsort(ids, kind="stable")
+    ids, vecs = ids[o], vecs[o]
+    if (ids[1:] == ids[:-1]).any():
+        _, o = np.unique(np.column_stack([ids.view(float), vecs]).view(f"V{8 + 8 * vecs.shape[1]}").ravel(), return_index=True)
+        o.sort()
+        ids, vecs = ids[o], vecs[o]
+    return ids, vecs, np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+
+
 def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best per query: larger score, then smaller id; an id once."""
-    o = np.lexsort((c, -s, q))
+    """The k best per query: larger score, then smaller id; an id once, with its best score."""
+    o = np.lexsort((-s, c, q))
     q, c, s = q[o], c[o], s[o]
     new = np.ones(len(q), bool)
-    new[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+    new[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
     q, c, s = q[new], c[new], s[new]
+    o = np.lexsort((c, -s, q))
+    q, c, s = q[o], c[o], s[o]
     first = np.searchsorted(q, q)
     keep = np.arange(len(q)) - first < k
     return q[keep], c[keep], s[keep]
@@ -114,7 +129,7 @@ def _search(k: int, exact: bool):
                             p = hashes.probes(qu, t)
                             o = np.argsort(p, axis=None, kind="stable")
                             probes.append((p.ravel()[o], (o // p.shape[1]).astype(np.int32)))
-                cid, cv = _unpack(r["ids"], r["vecs"])
+                cid, cv, starts = _distinct(*_unpack(r["ids"], r["vecs"]))
                 cn = np.linalg.norm(cv, axis=1)
                 cu = cv / cn[:, None]
                 if exact:
@@ -129,11 +144,15 @@ def _search(k: int, exact: bool):
                         found[row, owner[col]] = True
                 found &= cid[:, None] != qid[None]
                 near = np.where(found, cu @ qu.T, -2.0)
-                # All that may be among the k best, ties included; these get the exact score.
-                kth = np.partition(near, len(cid) - k, axis=0)[len(cid) - k] if len(cid) > k else np.full(len(qid), -2.0)
-                ci, qi = np.nonzero(found & (near >= kth[None] - SLACK))
-                score = (cv[ci] * qv[qi]).sum(1) / (cn[ci] * qn[qi])
-                best = _best(np.concatenate([best[0], qi]), np.concatenate([best[1], cid[ci]]), np.concatenate([best[2], score]), k)
+                # All that may be among the k best ids, ties included; these get the exact score.
+                top = np.maximum.reduceat(near, starts, axis=0)
+                kth = np.partition(top, len(top) - k, axis=0)[len(top) - k] if len(top) > k else np.full(len(qid), -2.0)
+                least = np.repeat(np.maximum(top, kth[None]), np.diff(np.append(starts, len(cid))), axis=0) - SLACK
+                ci, qi = np.nonzero(found & (near >= least))
+                for at in range(0, len(ci), PAIRS):
+                    c, q = ci[at : at + PAIRS], qi[at : at + PAIRS]
+                    score = (cv[c] * qv[q]).sum(1) / (cn[c] * qn[q])
+                    best = _best(np.concatenate([best[0], q]), np.concatenate([best[1], cid[c]]), np.concatenate([best[2], score]), k)
         if best is not None and len(best[0]):
             yield flush()
 

@@ -406,6 +406,37 @@ def test_nearest_recall_and_ties(spark):
     assert ann.nearest(few.limit(0), few).count() == 0
 
 
+def test_nearest_repeated_ids(spark):
+    """One vec_id in most rows of every chunk, another with many vectors: both
+    count once, and their neighbours are found."""
+    from tallyforge.llm import ann
+
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=16)
+    x = hot + rng.normal(size=(60, 16)) * np.where(np.arange(60) < 40, 0.3, 3.0)[:, None]
+    rows = [(i, v) for i, v in enumerate(x)] + [(100, hot)] * 5000 + [(101, hot + d) for d in rng.normal(size=(500, 16)) * 0.02]
+    rng.shuffle(rows := [(i, v.astype(np.float32).tolist()) for i, v in rows])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id < 20")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    ids, y = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    n = np.linalg.norm(y, axis=1)
+    hit = 0
+    for i in range(20):
+        q = y[ids == i][0]
+        s, most = y @ q / (n * np.linalg.norm(q)), {}
+        for j, c in zip(ids.tolist(), s.tolist()):
+            if j != i:
+                most[j] = max(c, most.get(j, -9))
+        best = sorted(most, key=lambda j: (-most[j], j))[:5]
+        hit += len({v for v, _ in got[i]} & set(best))
+        assert len({v for v, _ in got[i]}) == 5 and all(c <= most[v] + 1e-12 for v, c in got[i])
+    assert hit >= 90
+    one = lambda a: ann._best(*map(np.array, a), 2)
+    assert [v.tolist() for v in one(([0] * 4, [7, 7, 7, 8], [0.9, 0.8, 0.7, 0.6]))] == [[0, 0], [7, 8], [0.9, 0.6]]
+
+
 # ---- pages
 
 
