@@ -2,7 +2,7 @@
 
 A tolerant parser builds each page's tree. Elements that by name, role or
 class are menus, headers, footers, notices, adverts, forms, scripts or comments
-are left out. Every other node gets its composite density: characters per tag,
+are left out, unless they wrap the page's main text (see resolve). Every other node gets its composite density: characters per tag,
 adjusted by the share of its characters and tags in links and by the body's.
 The node with the largest sum of child densities is the core; the least density
 on its path to the body is the threshold. The core is then widened to the
@@ -24,10 +24,18 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul option".split())
-DROPPED = frozenset("head script style noscript template nav header footer aside form button select textarea input iframe object embed svg math canvas audio video dialog menu title label fieldset".split())
+DROPPED = frozenset("head script style noscript template nav header footer aside button select textarea input iframe object embed svg math canvas audio video dialog menu title label".split())
+FORMS = frozenset("form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Whole words of class or id (split at - _ and capitals) that mark other parts.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination sidebar sidebars sidenav footer header masthead topbar toolbar comment comments commentlist discussion disqus replies respond cookie cookies consent gdpr notice notices notification notifications alert newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended recommendations widget widgets skip copyright legal disclaimer".split())
+#: Words beside those of NOISE that leave a name as clear as it is (comment-list),
+#: and words that tell of a page's layout, not of what an element is (has-sidebar).
+PLACES = frozenset("area areas list lists section sections wrap wrapper container box block inner outer item items body row col text user site post page entry top bottom left right global primary secondary the my js".split())
+STATES = frozenset("has with no without is not show hide".split())
+#: Marks: an article of such a name (a comment, say), none, a word among others
+#: (or a form), a name of such words, certain.
+OTHER, PLAIN, WORD, NAME, SURE = range(-1, 4)
 #: Opening one of these closes an open one of those, up to a container.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -42,28 +50,77 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 class Node:
-    __slots__ = ("name", "up", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "up", "parts", "mark", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, up: Node | None, dropped: bool = False):
-        self.name, self.up, self.dropped, self.parts = name, up, dropped, []
+    def __init__(self, name: str, up: Node | None, mark: int = 0):
+        self.name, self.up, self.mark, self.dropped, self.parts = name, up, mark, mark == SURE, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def noisy(name: str, attrs: str) -> bool:
+def mark(name: str, attrs: str) -> int:
     if name in DROPPED:
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return SURE
+    out = WORD if name in FORMS else PLAIN
+    if not attrs or name in ("html", "body"):
+        return out
+    if name in ("article", "main"):
+        return OTHER if mark("div", " ".join(m[0] for m in ATTR.finditer(attrs) if m[1].lower() in ("class", "id"))) == NAME else PLAIN
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'"))
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES:
-            return True
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            return SURE
+        if key == "role" and value.lower() in ROLES:
+            if name not in FORMS or value.lower() != "form":
+                return SURE
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in ("class", "id") and any(w.lower() in NOISE for w in WORDS.findall(value)):
-            return True
-    return False
+            return SURE
+        if key in ("class", "id"):
+            for token in value.split():
+                words = [w.lower() for w in WORDS.findall(token)]
+                if not NOISE.isdisjoint(words) and STATES.isdisjoint(words):
+                    clear = all(w in NOISE or w in PLACES or w.isdigit() for w in words) and "page" not in words[:1]
+                    out = max(out, NAME if clear else WORD)
+    return out
+
+
+def resolve(body: Node) -> None:
+    """Says which marked elements are left out. One that holds the page's main
+    article (an article, or else a main element, with at least half of the text
+    in such elements, and half as much as is outside elements marked by name) is kept,
+    whatever its name. So is one marked by a word among others, or a form, with
+    more than half of the page's text outside links; without a main article,
+    also the largest marked by name, if there is hardly any text outside such."""
+    nodes, todo = [], [body]
+    while todo:
+        n = todo.pop()
+        nodes.append(n)
+        todo.extend(p for p in n.parts if isinstance(p, Node) and p.mark != SURE)
+    if all(n.mark <= PLAIN for n in nodes):
+        return
+    for n in reversed(nodes):
+        n.chars = 0 if n.name == "a" else sum(len(" ".join(p.split())) if isinstance(p, str) else p.chars if p.mark < NAME else 0 for p in n.parts)
+    found, inside = [], 0
+    for n in nodes:
+        if n.name in ("article", "main"):
+            found.append(n)
+            up = n.up
+            while up is not None and up.name not in ("article", "main"):
+                up = up.up
+            inside += n.chars if up is None else 0
+    # Articles before main elements, larger ones before smaller.
+    found = [n for n in found if n.mark == PLAIN and n.chars and 2 * n.chars >= max(inside, body.chars)]
+    n = max(found, key=lambda n: (n.name == "article", n.chars), default=None)
+    if n is None:
+        n = max((n for n in nodes if n.mark == NAME and 20 * body.chars < n.chars), key=lambda n: n.chars, default=None)
+    holding, text = set(), max(body.chars, n.chars if n is not None else 0)
+    while n is not None:
+        holding.add(n)
+        n = n.up
+    for n in nodes:
+        n.dropped = n.mark > PLAIN and n not in holding and not (n.mark == WORD and 2 * n.chars > text)
+    for n in nodes:
+        n.chars = 0
 
 
 def tree(page: str) -> Node:
@@ -111,7 +168,7 @@ def tree(page: str) -> Node:
                 node = node.up
             if node.name == "p":
                 here = node.up
-        new = Node(name, here, noisy(name, m[3]))
+        new = Node(name, here, mark(name, m[3]))
         here.parts.append(new)
         if name in RAW and not m[0].endswith("/>"):
             stop = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
@@ -120,6 +177,7 @@ def tree(page: str) -> Node:
             at = stop.end() if stop else end
         elif name not in VOID and not m[0].endswith("/>"):
             here = new
+    resolve(body)
     return body
 
 

@@ -453,6 +453,24 @@ def test_main_text():
     assert main_text("<p>" * 3000 + "deep <b>" * 3000) == ("deep " * 3000).strip()
 
 
+def test_main_text_in_marked_wrappers():
+    from tallyforge.llm.html_text import main_text
+
+    text = "A long enough paragraph of the page, with some more words in it. " * 4
+    want = text.strip()
+    article, plain = f"<article><p>{text}</p></article>", f"<p>{text}</p>"
+    side = '<div class="sidebar"><p>Side words</p></div><div id="comments"><article class="comment"><p>A reader</p></article></div><footer>Foot</footer>'
+    for inner in (article, plain):
+        for wrap in ('div class="content has-sidebar"', 'div id="page-with-comments"', 'section class="social-history"', 'form id="aspnetForm" method="post"', 'div class="widget"'):
+            end = wrap.split()[0]
+            assert main_text(f"<body><{wrap}>{inner}{side}</{end}></body>") == want
+    assert main_text(f'<form><fieldset><label>Name</label><input><div class="page-header">x</div>{article}<button>Go</button></fieldset></form>') == want
+    # What the listed parts hold is still left out, however long it is.
+    assert main_text(f'<main>{plain}<section class="related"><article><p>Teaser</p></article></section></main>') == want
+    assert main_text(f'<main><article><p>{text}</p></article><div id="comments" class="comments-area">{"<article><p>Reader words and more</p></article>" * 60}</div></main>') == want
+    assert main_text(f'<div><p>{text}</p></div><form class="search"><p>Subscribe to our letter</p><input></form>') == want
+
+
 def test_pages_query(spark):
     from tallyforge.llm import html_text, queries
 
