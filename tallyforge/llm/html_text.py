@@ -2,12 +2,15 @@
 
 A tolerant parser builds each page's tree. Elements that by name, role or
 class are menus, headers, footers, notices, adverts, forms, scripts or comments
-are left out, unless they wrap the page's main text (see resolve). Every other node gets its composite density: characters per tag,
-adjusted by the share of its characters and tags in links and by the body's.
+are left out, unless they wrap the page's main text (see resolve). Every other
+node gets its composite density: characters per tag, adjusted by the share of
+its characters and tags in links and by the body's.
 The node with the largest sum of child densities is the core; the least density
 on its path to the body is the threshold. The core is then widened to the
-outermost ancestor that is an article or main element, or whose own density
-stays above that threshold and that adds text outside links only.
+outermost ancestor that is an article or main element, or that adds more text
+outside links than in them. Of what an ancestor outside any article or main
+element adds, block elements below the threshold are left out, headings and
+words in the run of its own text are not.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul option".split())
 DROPPED = frozenset("head script style noscript template nav header footer aside button select textarea input iframe object embed svg math canvas audio video dialog menu title label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FORMS = frozenset("form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Whole words of class or id (split at - _ and capitals) that mark other parts.
@@ -227,8 +231,15 @@ def core(body: Node) -> Node | None:
     limit, out = min(x.density for x in path), best
     for x in path[1:]:
         outside = x.link_chars - out.link_chars
-        if x.name in ("article", "main") or x is not body and x.density >= limit and 2 * outside <= x.chars - out.chars:
+        if x.name in ("article", "main") or x is not body and 2 * outside <= x.chars - out.chars:
             out = x
+    # Above the outermost article or main element, what is beside the path must reach the threshold.
+    wide = path[: path.index(out) + 1]
+    inner = max((i for i, x in enumerate(wide) if x.name in ("article", "main")), default=0)
+    for down, x in zip(wide[inner:], wide[inner + 1 :]):
+        for p in x.parts:
+            if isinstance(p, Node) and p is not down and p.name in BLOCKS - HEADINGS and p.density < limit:
+                p.dropped = True
     return out
 
 

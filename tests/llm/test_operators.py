@@ -471,6 +471,19 @@ def test_main_text_in_marked_wrappers():
     assert main_text(f'<div><p>{text}</p></div><form class="search"><p>Subscribe to our letter</p><input></form>') == want
 
 
+def test_main_text_threshold():
+    """Beside the core, only what reaches the least density on its path is kept."""
+    from tallyforge.llm.html_text import main_text
+
+    text = "A long enough paragraph of the page, with some more words in it. " * 4
+    thin = "<div>" + "".join(f"<div><span><b>{w}</b></span><i>x</i></div>" for w in "mon tue wed thu fri sat".split()) + "</div>"
+    core = f"<div>{f'<p>{text}</p>' * 5}</div>"
+    assert main_text(f"<div><h1>Hi</h1>{core}<p>{text}</p>{thin}</div>") == "Hi " + (text * 6).strip()
+    assert main_text(f"<div>{core}So <b>it</b> is.{thin}</div>") == (text * 5).strip() + " So it is."
+    # An article is whole.
+    assert main_text(f"<article>{core}{thin}</article>").endswith("satx")
+
+
 def test_pages_query(spark):
     from tallyforge.llm import html_text, queries
 
