@@ -179,3 +179,24 @@ def test_streamed_marks(spark, tmp_path):
         assert q.awaitTermination(120)
         state = {r["ballot_id"]: r["num_votes"] for r in spark.read.schema(marks.SCHEMA).parquet(f"{tmp_path}/out/v={i}").collect()}
     assert state == {1: 0, 2: 0, 3: 1}
+
+
+def test_lookups_ask_for_all_rows(spark):
+    """Every event of a user with marks has its nearest one, every ballot is looked up."""
+    import collections
+
+    from tallyforge.plans import layout, registry
+    from tallyforge.sources import tables
+
+    at, found = "/root/testdata/sf0.001", registry.queries()
+    marks, events = collections.defaultdict(set), layout._events(spark, at).collect()
+    for e in events:
+        if e["event_type"] == "view" or e["event_id"] % 5 == 0:
+            marks[e["user_id"]].add(e["pos"])
+    want = sorted((e["event_id"], e["user_id"], e["pos"], float(min(marks[e["user_id"]], key=lambda m: (abs(m - e["pos"]), m)))) for e in events if marks[e["user_id"]])
+    assert sorted(tuple(r) for r in found["nearest_mark_all"](spark, at).collect()) == want
+    pmvs = collections.defaultdict(list)
+    for m in tables.marks(spark, at).collect():
+        pmvs[m["ballot_id"], m["contest"]] += [m["pmv"]] if m["option"] == "Brand#11" else []
+    want = sorted((b, c, "Brand#11", max(p, default=999), len(p) > 1) for (b, c), p in pmvs.items())
+    assert sorted(tuple(r) for r in found["pmv_lookup_all"](spark, at).collect()) == want
