@@ -10,8 +10,8 @@ further correction); the last that passed is the rule's cutoff. With
 probability 1 - DELTA no rule of any stratum rejects more than EPSILON of the
 good documents. Where labels are too few for any cutoff to pass, a rule is off.
 
-All work over documents is in DataFrame functions. The driver gets counts per
-stratum, rule and cutoff only.
+All work is in DataFrame functions. All strata get cutoffs, however many there
+are; the driver gets their number only.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, written
+from .common import bind, sized, written
 
 EPSILON, DELTA = 0.005, 0.05
-#: Strata that get cutoffs, those with the most labels; documents of other
-#: languages are judged by the base rules alone.
+#: The SQL equivalent gives cutoffs to so many languages; it is equal up to there.
 STRATA = 64
+#: A row of cutoffs in memory, at most.
+STRATUM_BYTES = 256
 #: feature: cutoffs from the loosest to the strictest.
 CUTOFFS = {
     "symbol_rate": (0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.015, 0.01),
@@ -107,29 +108,49 @@ def tail(n: int, k: int, p: float) -> float:
     return total
 
 
-def cutoffs(good: DataFrame) -> dict[tuple[str, str], float]:
-    """(stratum, feature) -> cutoff. good: lang_ and the features of labelled
+def below(n: Column, k: Column, level: float) -> Column:
+    """Whether tail(n, k, EPSILON) <= level, for a level below 1/2. The median
+    is at least floor(n * EPSILON), so from there on it isn't, unsummed."""
+    step = lambda i: F.log((n - i + 1) / i) + F.lit(math.log(EPSILON) - math.log1p(-EPSILON))
+    first = n * F.lit(math.log1p(-EPSILON))
+    start = F.struct(first.alias("term"), F.exp(first).alias("total"))
+
+    def add(s: Column, i: Column) -> Column:
+        return bind(s["term"] + step(i), lambda t: F.struct(t.alias("term"), (s["total"] + F.exp(t)).alias("total")))
+
+    total = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), start, add)["total"]
+    return F.when(k >= F.floor(n * F.lit(EPSILON)) + 1, False).otherwise(total <= level)
+
+
+def cutoff_table(good: DataFrame) -> tuple[DataFrame, int]:
+    """lang_ and a column cut_<feature> each, null where the rule is off, for
+    all strata, and how many these are. good: lang_ and the features of labelled
     good documents that the base rules pass."""
     # A struct for each (stratum, rule, cutoff) would be many rows; counts are summed in place instead.
     sums = [F.count_if(F.col(f) > c).alias(f"{f}:{i}") for f, cs in CUTOFFS.items() for i, c in enumerate(cs)]
-    rows = good.groupBy("lang_").agg(F.count("*").alias("n"), *sums).orderBy(F.desc("n"), "lang_").limit(STRATA).collect()
-    level, found = DELTA / max(1, len(rows) * len(CUTOFFS)), {}
-    for r in rows:
-        for f, cs in CUTOFFS.items():
-            for i, c in enumerate(cs):
-                if tail(r["n"], r[f"{f}:{i}"], EPSILON) > level:
-                    break
-                found[r["lang_"], f] = c
-    return found
-
-
-def verdict(found: dict[tuple[str, str], float]) -> Column:
+    rows = written(good.groupBy("lang_").agg(F.count("*").alias("n"), *sums), "quality-strata")
+    strata = rows.count()
+    level = DELTA / max(1, strata * len(CUTOFFS))
+
+    def strictest(f: str) -> Column:
+        """The last cutoff before the first that fails."""
+        passed = F.transform(F.array(*[f"`{f}:{i}`" for i in range(len(CUTOFFS[f]))]), lambda k: below(F.col("n"), k, level))
+        failed = F.array_position(F.concat(passed, F.array(F.lit(False))), F.lit(False)).cast("int")
+        return F.get(F.array(*map(F.lit, CUTOFFS[f])), failed - 2).alias(f"cut_{f}")
+
+    return rows.select("lang_", *[strictest(f) for f in CUTOFFS]), strata
+
+
+def cutoffs(good: DataFrame) -> dict[tuple[str, str], float]:
+    """cutoff_table as (stratum, feature) -> cutoff, for few strata."""
+    return {(r["lang_"], f): r[f"cut_{f}"] for r in cutoff_table(good)[0].collect() for f in CUTOFFS if r[f"cut_{f}"] is not None}
+
+
+def verdict() -> Column:
     """True where a rule rejects."""
     out = F.lit(False)
     for f in CUTOFFS:
-        if pairs := [(lang, c) for (lang, g), c in found.items() if g == f]:
-            cut = F.element_at(F.create_map(*[F.lit(x) for p in pairs for x in p]), F.col("lang_"))
-            out = out | F.coalesce(F.col(f) > cut, F.lit(False))
+        out = out | F.coalesce(F.col(f) > F.col(f"cut_{f}"), F.lit(False))
     return out
 
 
@@ -145,5 +166,6 @@ def judged(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -
     feats = written(rows.select("own_", "key_", "lang_", *COUNTS, *CUTOFFS), "quality-features")
     best = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     good = feats.where("not base_failed").select("key_", "lang_", *CUTOFFS).join(best, F.col("key_") == F.col("doc_id"), "left_semi")
-    found = cutoffs(good)
-    return feats.select("own_.*", *COUNTS, (~F.col("base_failed") & ~verdict(found)).alias("kept"))
+    found, strata = cutoff_table(good)
+    cuts = written(found, "quality-cutoffs")
+    return feats.join(sized(cuts, strata, STRATUM_BYTES), "lang_", "left").select("own_.*", *COUNTS, (~F.col("base_failed") & ~verdict()).alias("kept"))

@@ -152,6 +152,26 @@ def test_binomial_bound_and_cutoffs(spark):
     assert found["en", "symbol_rate"] == want and not [k for k in found if k[0] == "fr"]  # 50 labels prove nothing
 
 
+def test_quality_cutoffs_of_all_languages(spark):
+    """70 languages with labels enough for cutoffs: each rejects its bad documents."""
+    from pyspark.sql import functions as F
+
+    from tallyforge.llm import quality_rules as q
+
+    words = "some plain words of a document that goes on for a while"
+    bad = F.expr("id % 1800 = 0")
+    text = F.when(bad, F.lit(words.replace(" ", "### "))).otherwise(F.lit(words))
+    docs = spark.range(70 * 1800).select(F.col("id").alias("doc_id"), text.alias("text"), F.concat(F.lit("l"), F.expr("cast(id div 1800 as string)")).alias("lang"))
+    labels = docs.where(~F.expr("doc_id % 1800 = 0")).select("doc_id", F.lit(1).alias("quality"))
+    out = q.judged(docs, labels)
+    assert out.where("not kept").select("doc_id", "lang").distinct().count() == 70 and out.where("kept").count() == 70 * 1799
+    # The tails in Spark are those in Python.
+    some = [(n, k) for n in (1, 200, 1700, 4000, 300_000) for k in (0, 1, 3, 8, 20, 1300, 1420, 1500) if k <= n]
+    for level in (0.0125, 1e-4, 1e-9):
+        got = spark.createDataFrame(some, "n long, k long").select("n", "k", q.below(F.col("n"), F.col("k"), level).alias("b")).collect()
+        assert all(r["b"] == (q.tail(r["n"], r["k"], q.EPSILON) <= level) for r in got)
+
+
 # ---- repeated strings
 
 
