@@ -544,6 +544,41 @@ def test_packing_round_trip(spark, awkward, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_special_tokens_and_long_texts(spark, monkeypatch):
+    """Ids against a fresh tokenizer; a text of very many windows."""
+    from tokenizers import Tokenizer
+
+    from tallyforge.llm import packing
+
+    fresh = Tokenizer.from_file(packing.default_tokenizer())
+    encode = packing.Encoder(packing.default_tokenizer())
+    for x in ("hello <|endoftext|> world", "<|STARTOFTEXT|>x", "a <|x|> b", "<|endoftext|>", "it's 5 o'clock", "é<|endoftext|>"):
+        assert list(np.frombuffer(encode(x), "<u4")) == fresh.encode(x, add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "WINDOW", 2)
+    texts = ["a b c", " ".join(["word"] * 70_000), "d", "", " ".join(["more"] * 40_001)]
+    pieces = packing.pack(docs_of(spark, texts).coalesce(1)).toPandas()
+    assert pieces["length"].sum() == sum(len(fresh.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
+    assert not pieces.duplicated(["sequence_id", "offset"]).any() and pieces.groupby("sequence_id")["length"].sum().max() == 2
+    assert (pieces.groupby("sequence_id")["offset"].min() == 0).all()
+
+
+def test_packing_tail():
+    from tallyforge.llm import packing
+
+    rng = random.Random(2)
+    for _ in range(200):
+        lengths = [rng.randint(1, 12) for _ in range(rng.randint(1, 40))]
+        total = rng.randint(0, sum(lengths))
+        got = packing.subset(lengths, total)
+        reach = {0}
+        for v in lengths:
+            reach |= {r + v for r in reach}
+        assert (got is None) == (total not in reach) and (got is None or sum(lengths[i] for i in got) == total and len(set(got)) == len(got))
+        begun = rng.randint(0, 9)
+        assert sorted(packing.tail(lengths, begun)) == sorted(lengths)
+    assert packing.tail([7, 7, 1, 1, 3], 0) and packing.tail([], 0) == []
+
+
 def test_packing_plan():
     from tallyforge.llm import packing
 
