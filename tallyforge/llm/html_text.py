@@ -5,12 +5,14 @@ class are menus, headers, footers, notices, adverts, forms, scripts or comments
 are left out, unless they wrap the page's main text (see resolve). Every other
 node gets its composite density: characters per tag, adjusted by the share of
 its characters and tags in links and by the body's.
-The node with the largest sum of child densities is the core; the least density
-on its path to the body is the threshold. The core is then widened to the
-outermost ancestor that is an article or main element, or that adds more text
-outside links than in them. Of what an ancestor outside any article or main
-element adds, block elements below the threshold are left out, headings and
-words in the run of its own text are not.
+The node with the largest sum of child densities is the core, taken whole; the
+least density of the nodes above it on its path to the body is the threshold.
+The core is then widened to the body, or, where an article or main element
+stands on that path, to the body's child. Of what the nodes on the path have
+beside it, blocks that reach the threshold are kept; of others only the blocks
+inside that reach it. Headings are kept, and runs of own text and inline
+elements that are not mostly links. Inside an article or main element that holds
+the core nothing is left out by its density, since all of it is the article.
 """
 
 from __future__ import annotations
@@ -48,16 +50,21 @@ CLOSES = {
 }
 ENDS_P = BLOCKS - {"br", "body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 P_SCOPE = frozenset({"body", "html", "table", "td", "th", "caption", "article", "div", "section", "li", "blockquote", "main"})
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 class Node:
-    __slots__ = ("name", "up", "parts", "mark", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """An element. block: itself or the nearest block around it; of a block,
+    inline has how many inline elements of a name are open in it."""
+
+    __slots__ = ("name", "up", "parts", "mark", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "block", "inline")
 
     def __init__(self, name: str, up: Node | None, mark: int = 0):
         self.name, self.up, self.mark, self.dropped, self.parts = name, up, mark, mark == SURE, []
+        self.block = self if up is None or name in BLOCKS else up.block
+        self.inline: dict[str, int] | None = {} if self.block is self else None
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -131,6 +138,18 @@ def tree(page: str) -> Node:
     root = Node("html", None)
     body = here = Node("body", root)
     root.parts.append(body)
+    blocks: dict[str, int] = {}  # open blocks by name
+
+    def closed(node: Node, to: Node) -> Node:
+        """to, with all from node up to it closed."""
+        while node is not to:
+            if node.block is node:
+                blocks[node.name] -= 1
+            else:
+                node.block.inline[node.name] -= 1
+            node = node.up
+        return to
+
     at, end = 0, len(page)
     while at < end:
         m = TAG.search(page, at)
@@ -147,31 +166,30 @@ def tree(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            node = here
-            while node is not body and node.name != name:
-                if name not in BLOCKS and node.name in BLOCKS:
-                    node = body
-                    break
-                node = node.up
-            if node is not body:
-                here = node.up
+            # An inline element is closed within its block only.
+            if blocks.get(name) if name in BLOCKS else here.block.inline.get(name):
+                node = here
+                while node.name != name:
+                    node = node.up
+                here = closed(here, node.up)
             continue
         if name in ("html", "body"):
             continue
         if name in CLOSES:
             mine, scope = CLOSES[name]
-            node, last = here, None
-            while node is not body and node.name not in scope:
-                if node.name in mine:
-                    last = node
-                node = node.up
-            here = last.up if last is not None else here
-        elif name in ENDS_P:
-            node = here
+            if any(blocks.get(x) for x in mine):
+                node, last = here.block, None
+                while node is not body and node.name not in scope:
+                    if node.name in mine:
+                        last = node
+                    node = node.up.block
+                here = closed(here, last.up) if last is not None else here
+        elif name in ENDS_P and blocks.get("p"):
+            node = here.block
             while node.name != "p" and node.name not in P_SCOPE:
-                node = node.up
+                node = node.up.block
             if node.name == "p":
-                here = node.up
+                here = closed(here, node.up)
         new = Node(name, here, mark(name, m[3]))
         here.parts.append(new)
         if name in RAW and not m[0].endswith("/>"):
@@ -181,6 +199,8 @@ def tree(page: str) -> Node:
             at = stop.end() if stop else end
         elif name not in VOID and not m[0].endswith("/>"):
             here = new
+            open_ = blocks if new.block is new else new.block.inline
+            open_[name] = open_.get(name, 0) + 1
     resolve(body)
     return body
 
@@ -217,7 +237,39 @@ def measure(body: Node) -> list[Node]:
     return nodes
 
 
-def core(body: Node) -> Node | None:
+def linked(part: Node | str) -> tuple[int, int]:
+    """Characters of an inline part, and those in links."""
+    if isinstance(part, str):
+        return len(" ".join(part.split())), 0
+    return part.chars, part.chars if part.name == "a" else part.link_chars
+
+
+def sift(node: Node, on_path: Node | None, limit: float) -> None:
+    """Leaves out what stands in node, beside the path, below the limit."""
+    todo = [(node, on_path)]
+    while todo:
+        x, down = todo.pop()
+        run: list = []
+        parts = []
+        for p in [*x.parts, None]:
+            if isinstance(p, str) or p is not None and p.name not in BLOCKS and p is not down:
+                run.append(p)
+                continue
+            chars, links = map(sum, zip(*map(linked, run), strict=True)) if run else (0, 0)
+            # Below a block that misses the limit, only blocks that reach it count.
+            if down is not None and 2 * links <= chars:
+                parts += run
+            run = []
+            if p is None:
+                break
+            parts.append(p)
+            if p is not down and not p.dropped and p.density < limit and not (down is not None and p.name in HEADINGS):
+                todo.append((p, None))
+        x.parts = parts
+
+
+def core(body: Node, scale: float = 1.0) -> Node | None:
+    """The node whose text is the page's. scale: of the threshold, for tests."""
     nodes = measure(body)
     if not body.chars:
         return None
@@ -228,19 +280,13 @@ def core(body: Node) -> Node | None:
     while n is not None and n.name != "html":
         path.append(n)
         n = n.up
-    limit, out = min(x.density for x in path), best
-    for x in path[1:]:
-        outside = x.link_chars - out.link_chars
-        if x.name in ("article", "main") or x is not body and 2 * outside <= x.chars - out.chars:
-            out = x
-    # Above the outermost article or main element, what is beside the path must reach the threshold.
-    wide = path[: path.index(out) + 1]
-    inner = max((i for i, x in enumerate(wide) if x.name in ("article", "main")), default=0)
-    for down, x in zip(wide[inner:], wide[inner + 1 :]):
-        for p in x.parts:
-            if isinstance(p, Node) and p is not down and p.name in BLOCKS - HEADINGS and p.density < limit:
-                p.dropped = True
-    return out
+    limit = scale * min((x.density for x in path[1:]), default=0.0)
+    whole = max((i for i, x in enumerate(path) if x.name in ("article", "main")), default=None)
+    if whole is not None:
+        path = path[: max(whole + 1, len(path) - 1)]
+    for down, x in zip(path[whole or 0 :], path[(whole or 0) + 1 :]):
+        sift(x, down, limit)
+    return path[-1]
 
 
 def text_of(node: Node) -> str:
@@ -258,8 +304,8 @@ def text_of(node: Node) -> str:
     return " ".join("".join(out).split())
 
 
-def main_text(page: str) -> str:
-    found = core(tree(page))
+def main_text(page: str, scale: float = 1.0) -> str:
+    found = core(tree(page), scale)
     return text_of(found) if found is not None else ""
 
 
@@ -271,6 +317,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars per row of pages (page_id, url, html).
-    Null or empty html, and pages without text, have an empty text."""
+    Null or empty html, and pages without text, have an empty text. Of nodes
+    with equal sums the first in the page is the core. Pages may be of any
+    length and depth: work grows with their length. Repeated rows get equal
+    results, an empty table has none, extra columns are ignored."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -504,6 +504,119 @@ def test_main_text_threshold():
     assert main_text(f"<article>{core}{thin}</article>").endswith("satx")
 
 
+def brute_main_text(page):
+    """Composite text density by plain recursion over html.parser's events, for
+    well-formed pages of blocks, inline elements and links."""
+    import math
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        root = here = ["body", [], None]
+
+        def handle_starttag(self, tag, attrs):
+            if tag != "body":
+                new = [tag, [], self.here]
+                self.here[1].append(new)
+                self.here = new
+
+        def handle_endtag(self, tag):
+            self.here = self.here[2] or self.here
+
+        def handle_data(self, data):
+            self.here[1].append(data)
+
+    parser = Tree()
+    parser.root = parser.here = ["body", [], None]
+    parser.feed(page)
+    body = parser.root
+    kids = lambda n: [p for p in n[1] if not isinstance(p, str)]
+    chars = lambda n: len(" ".join(n.split())) if isinstance(n, str) else sum(map(chars, n[1]))
+    tags = lambda n: sum(1 + tags(k) for k in kids(n))
+    link = lambda n: 0 if isinstance(n, str) else sum(chars(k) if k[0] == "a" else link(k) for k in kids(n))
+    link_tags = lambda n: sum((k[0] == "a") + link_tags(k) for k in kids(n))
+
+    def density(n):
+        c, t, lc, lt = chars(n), tags(n), link(n), link_tags(n)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + link(body) / max(1, chars(body)) * c + math.e)
+        return c / max(1, t) * math.log(max(math.e, c / max(1, lc) * max(1, t) / max(1, lt))) / max(1.0, base)
+
+    def nodes(n):
+        return [n] + [x for k in kids(n) for x in nodes(k)]
+
+    best = max(nodes(body), key=lambda n: sum(map(density, kids(n))))
+    path = [best]
+    while path[-1][2]:
+        path.append(path[-1][2])
+    limit = min((density(n) for n in path[1:]), default=0.0)
+    inline = lambda p: isinstance(p, str) or p[0] in ("a", "b", "i", "span")
+    text = lambda p: p if isinstance(p, str) else "".join(map(text, p[1])) if inline(p) else " " + "".join(map(text, p[1])) + " "
+
+    def dense(n):
+        return " ".join(text(k) if density(k) >= limit else dense(k) for k in kids(n) if not inline(k))
+
+    def shown(i):
+        n = path[i]
+        if i == 0:
+            return text(n)
+        out, run = [], []
+        for p in [*n[1], None]:
+            if p is not None and inline(p) and p is not path[i - 1]:
+                run.append(p)
+                continue
+            if 2 * sum(chars(q) if not isinstance(q, str) and q[0] == "a" else link(q) for q in run) <= sum(map(chars, run)):
+                out += map(text, run)
+            run = []
+            if p is not None:
+                out.append(" " + shown(i - 1) + " " if p is path[i - 1] else text(p) if p[0] == "h2" or density(p) >= limit else " " + dense(p) + " ")
+        return "".join(out)
+
+    return " ".join(shown(len(path) - 1).split()) if chars(body) else ""
+
+
+def test_main_text_equals_plain_density():
+    from tallyforge.llm.html_text import main_text
+
+    rng = random.Random(21)
+    words = lambda n: " ".join("".join(rng.choice("abcdeéñ") for _ in range(rng.randint(1, 9))) for _ in range(n)) + rng.choice(("", ".", " "))
+
+    def inline():
+        kind = rng.random()
+        return words(rng.randint(1, 25)) if kind < 0.6 else f"<a href=x>{words(rng.randint(1, 4))}</a>" if kind < 0.8 else f"<b>{words(2)}</b>"
+
+    def block(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"<p>{''.join(inline() for _ in range(rng.randint(0, 4)))}</p>"
+        if rng.random() < 0.15:
+            return "<ul>" + "".join(f"<li><a href=x>{words(2)}</a></li>" for _ in range(rng.randint(1, 6))) + "</ul>"
+        if rng.random() < 0.1:
+            return f"<h2>{words(3)}</h2>"
+        tag = rng.choice(("div", "section"))
+        return f"<{tag}>{''.join(block(depth - 1) if rng.random() < 0.8 else inline() for _ in range(rng.randint(0, 5)))}</{tag}>"
+
+    changed = 0
+    for _ in range(300):
+        page = "<body>" + "".join(block(3) for _ in range(rng.randint(1, 6))) + "</body>"
+        got = main_text(page)
+        assert got == brute_main_text(page)
+        changed += got != main_text(page, 0.0) or got != main_text(page, 4.0)
+    assert changed > 100  # the threshold decides
+
+
+def test_main_text_of_awkward_pages():
+    """Unclosed quotes and tags that are closed but not open, at length."""
+    import time
+
+    from tallyforge.llm.html_text import main_text
+
+    n, began = 20_000, time.perf_counter()
+    assert main_text("<p>text" + "<a " * n + '"') == "text"
+    assert main_text("<i><div>" + "<b>" * n + "</i>" * n + "x") == "x" and main_text("<b>" * n + "<hr>" * n + "x") == "x"
+    assert main_text("</div></p></b>" * n + "x <p don't>y<p title=\"it's > \">z") == "x y z"
+    assert time.perf_counter() - began < 20
+
+
 def test_pages_query(spark):
     from tallyforge.llm import html_text, queries
 
