@@ -303,6 +303,86 @@ def test_field_adds_spans():
     assert hit / found > 0.95 and hit / real > 0.95
 
 
+def plain_spans(text):
+    """Base spans by the contract's own expressions, with no thought of time."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 13 <= len(d) <= 19 and (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+def test_personal_data_base_equals_expressions():
+    from tallyforge.llm import pii
+
+    rng = random.Random(31)
+    parts = ["a", "b@", "@", ".", "1", "22", "+", "+1", " ", "_", "c.d", "..", "-", "1.2", "%", "255", "256", "4539578763621486", "(5", ") ", "é"]
+    for _ in range(3000):
+        x = "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
+        assert pii.base_spans(x) == plain_spans(x)
+
+
+def test_personal_data_in_long_texts():
+    import time
+
+    from tallyforge.llm import pii
+
+    w = pii.default_weights()
+    mail = "a@b.co "
+    for text, base in (("0" * 5000 + "1.1.1.1", 1), ("1" * 1_000_000, 0), ("a" * 1_000_000 + "7", 0), ("x" * 1_000_000 + "@", 0), (mail * 30_000, 30_000), ("+ " * 200_000 + "5", 0), ("." * 300_000 + "1" * 300_000, 0)):
+        began = time.perf_counter()
+        got = pii.all_spans(text, w)
+        assert len(got[0]) == base and time.perf_counter() - began < 4  # well below a second each on an idle machine
+
+
+def test_field_decoding_equals_all_segmentations(monkeypatch):
+    """The best of all segmentations, scored one by one."""
+    from tallyforge.llm import pii
+
+    w = pii.default_weights()
+
+    def every(n, cands, at=0, last=pii.OUTSIDE):
+        if at == n:
+            yield 0.0, ()
+            return
+        for k, j, s in [(pii.OUTSIDE, at + 1, 0.0)] + [(k, j, s) for j, own in cands.items() for i, f in own if i == at for k, s in enumerate(pii.scores(w, f)) if s > 0]:
+            for v, rest in every(n, cands, j, k):
+                yield v + w.get(("t", last, k), 0.0) + s, ((at, j, k), *rest)
+
+    for text in ("call (555) 123-4567 x", "a 1.2.3.4 b", "bob [at] ex [dot] com 5551234567", "+1 (269) 555-3296 4524132264652876", "x@y.zz 555.123.4567"):
+        toks = pii.tokens(text, 0, len(text))
+        best, segments = max(every(len(toks), pii.candidates(text, toks)))
+        want = [(pii.KINDS[k], toks[i][0], toks[j - 1][1]) for i, j, k in segments if k != pii.OUTSIDE]
+        assert [g[:3] for g in pii.decoded(w, text, 0, len(text))] == want
+    # Letting go of what is settled changes nothing; stretches find what whole texts hold.
+    rng = random.Random(3)
+    text = " and so on, it goes. ".join(pii._made(rng)[0] for _ in range(120))
+    whole = pii.decoded(w, text, 0, len(text))
+    monkeypatch.setattr(pii, "SETTLE", 2)
+    assert pii.decoded(w, text, 0, len(text)) == whole
+    apart = [g for a, b in pii._apart(pii.stretches(text)) for g in pii.decoded(w, text, a, b)]
+    assert [g[:3] for g in apart] == [g[:3] for g in whole]
+
+
+def test_field_against_base_spans_of_documents(spark):
+    """The field alone, on what the base patterns find in real texts, and on forms that they can't find."""
+    from tallyforge.llm import pii
+
+    w = pii.default_weights()
+    hit = found = real = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        if base := set(pii.base_spans(r["text"])):
+            got = {g[:3] for a, b in pii._apart(pii.stretches(r["text"])) for g in pii.decoded(w, r["text"], a, b) if g[3] >= pii.MARGIN}
+            hit, found, real = hit + len(got & base), found + len(got), real + len(base)
+    assert real > 30 and hit / real > 0.95 and hit / found > 0.95
+    for text, kind in (("write to bob [at] example [dot] com today", "email"), ("ring (555) 123-4567 now", "phone"), ("or bob @ example.com there", "email")):
+        assert [k for k, _, _ in pii.all_spans(text, w)[1]] == [kind]
+    for text in ("a (at) b x", "on 2020-10-11 at 12:30", "1 2 3 4 5 6 7 8 9", "v1.2.3 and 10,000.50", "5 @ 3.50 each"):
+        assert pii.all_spans(text, w)[1] == []
+
+
 # ---- near-duplicates
 
 
