@@ -1,17 +1,27 @@
 """Quality rules whose cutoffs carry a guarantee on false rejection.
 
-Each rule rejects a document whose feature is above a cutoff. Per stratum
-(language) and rule, cutoffs are tested from the loosest to the strictest on
-labelled good documents: a cutoff passes if, were its true false-rejection rate
-EPSILON, so few or fewer rejections would be seen with probability at most
-DELTA / (strata * rules), by the exact binomial tail (the Clopper-Pearson
-bound). Testing stops at the first that fails (fixed-sequence testing needs no
-further correction); the last that passed is the rule's cutoff. With
-probability 1 - DELTA no rule of any stratum rejects more than EPSILON of the
-good documents. Where labels are too few for any cutoff to pass, a rule is off.
-
-All work is in DataFrame functions. All strata get cutoffs, however many there
-are; the driver gets their number only.
+Each rule rejects a document whose feature is above a cutoff. Strata are
+languages; those with too few labelled good documents to prove anything are one
+stratum together, to which languages without labels belong too (merged by their
+number alone, which tells nothing of rejections). Labelled good documents are
+split by a hash of doc_id (split fixed-sequence testing):
+
+* on the smaller part each rule's strictest cutoff is found that rejects at most
+  its share of half of EPSILON. Settings are these cutoffs, and the same a few
+  notches looser;
+* on the larger part, the holdout, settings are tested from the loosest to the
+  strictest: one passes if, were the true rate at which its rules together
+  reject good documents EPSILON, so few rejections or fewer would be seen with
+  probability at most DELTA / strata, by the exact binomial tail (the
+  Clopper-Pearson bound). Testing stops at the first that fails, which needs no
+  further correction; the last that passed holds.
+
+With probability 1 - DELTA, in every stratum the rules together reject at most
+EPSILON of the good documents that pass the base rules. Where labels are too few
+for any setting to pass, the base rules alone decide.
+
+All work is in DataFrame functions. The driver gets the number of languages and
+the one row of the joint stratum.
 """
 
 from __future__ import annotations
@@ -23,9 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import bind, sized, written
 
-EPSILON, DELTA = 0.005, 0.05
-#: The SQL equivalent gives cutoffs to so many languages; it is equal up to there.
-STRATA = 64
+EPSILON, DELTA = 0.03, 0.05
+#: Settings tested: cutoffs this many notches looser than the strictest.
+NOTCHES = (4, 3, 2, 1, 0)
+#: Rows whose hash starts with a digit below this are for finding cutoffs: a quarter.
+PICKED = "4"
 #: A row of cutoffs in memory, at most.
 STRATUM_BYTES = 256
 #: feature: cutoffs from the loosest to the strictest.
@@ -122,42 +134,82 @@ def below(n: Column, k: Column, level: float) -> Column:
     return F.when(k >= F.floor(n * F.lit(EPSILON)) + 1, False).otherwise(total <= level)
 
 
+def picked() -> Column:
+    return F.substring(F.md5(F.col("key_").cast("string").cast("binary")), 1, 1) < PICKED
+
+
+def least(strata: int) -> int:
+    """Holdout documents without which no setting can pass."""
+    return math.ceil(math.log(DELTA / strata) / math.log1p(-EPSILON))
+
+
 def cutoff_table(good: DataFrame) -> tuple[DataFrame, int]:
-    """lang_ and a column cut_<feature> each, null where the rule is off, for
-    all strata, and how many these are. good: lang_ and the features of labelled
-    good documents that the base rules pass."""
+    """lang_, stratum_ (null: the joint one) and a column cut_<feature> each, null where the rule is off, for
+    all labelled languages, and how many these are. good: key_, lang_ and the
+    features of labelled good documents that the base rules pass."""
     # A struct for each (stratum, rule, cutoff) would be many rows; counts are summed in place instead.
-    sums = [F.count_if(F.col(f) > c).alias(f"{f}:{i}") for f, cs in CUTOFFS.items() for i, c in enumerate(cs)]
-    rows = written(good.groupBy("lang_").agg(F.count("*").alias("n"), *sums), "quality-strata")
-    strata = rows.count()
-    level = DELTA / max(1, strata * len(CUTOFFS))
+    names = {f: [f"{f}:{i}" for i in range(len(cs))] for f, cs in CUTOFFS.items()}
+    sums = [F.count_if(F.col("pick_") & (F.col(f) > c)).alias(n) for f, cs in CUTOFFS.items() for n, c in zip(names[f], cs, strict=True)]
+    good = good.withColumn("pick_", picked())
+    rows = written(good.groupBy("lang_").agg(F.count_if(~F.col("pick_")).alias("held"), F.count_if("pick_").alias("n"), *sums), "quality-strata")
+    langs = rows.count()
+    own = F.when(F.col("held") >= least(langs + 1), F.col("lang_")).alias("stratum_")
+    share = EPSILON / (2 * len(CUTOFFS))
+    total = rows.groupBy(own).agg(F.sum("n").alias("n"), *[F.sum(f"`{n}`").alias(n) for ns in names.values() for n in ns])
 
     def strictest(f: str) -> Column:
-        """The last cutoff before the first that fails."""
-        passed = F.transform(F.array(*[f"`{f}:{i}`" for i in range(len(CUTOFFS[f]))]), lambda k: below(F.col("n"), k, level))
-        failed = F.array_position(F.concat(passed, F.array(F.lit(False))), F.lit(False)).cast("int")
-        return F.get(F.array(*map(F.lit, CUTOFFS[f])), failed - 2).alias(f"cut_{f}")
-
-    return rows.select("lang_", *[strictest(f) for f in CUTOFFS]), strata
+        """Index of the last cutoff that rejects no more than its share; counts only grow along cutoffs."""
+        fine = F.array(*[(F.col("n") > 0) & (F.col(f"`{n}`") <= share * F.col("n")) for n in names[f]])
+        return (F.size(F.filter(fine, lambda x: x)) - 1).alias(f"at_{f}")
+
+    def cutoff(f: str, notch: int | Column) -> Column:
+        at = F.col(f"at_{f}") - notch
+        return F.when(at >= 0, F.get(F.array(*map(F.lit, CUTOFFS[f])), at))
+
+    found = total.select("stratum_", *map(strictest, CUTOFFS))
+    settings = written(_with(rows.select("lang_", own), found), "quality-settings")
+    rejects = [F.count_if(_any(F.col(f) > cutoff(f, s) for f in CUTOFFS)).alias(f"k{s}") for s in NOTCHES]
+    held = good.where(~F.col("pick_")).join(sized(settings, langs, STRATUM_BYTES), "lang_")
+    tests = held.groupBy("stratum_").agg(F.count("*").alias("n"), *rejects)
+    level = DELTA / (langs + 1)
+    passed = F.array(*[below(F.col("n"), F.col(f"k{s}"), level) for s in NOTCHES], F.lit(False))
+    tests = tests.select("stratum_", (F.array_position(passed, F.lit(False)).cast("int") - 2).alias("last_"))
+    notch = F.get(F.array(*map(F.lit, NOTCHES)), F.col("last_"))
+    cuts = [F.when(F.col("last_") >= 0, cutoff(f, notch)).alias(f"cut_{f}") for f in CUTOFFS]
+    return _with(settings, tests).select("lang_", "stratum_", *cuts), langs
+
+
+def _with(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """rows with what more has of their stratum, the joint one (null) included."""
+    more = more.withColumnRenamed("stratum_", "same_")
+    return rows.join(more, F.col("stratum_").eqNullSafe(F.col("same_")), "left").drop("same_")
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | F.coalesce(c, F.lit(False))
+    return out
 
 
 def cutoffs(good: DataFrame) -> dict[tuple[str, str], float]:
-    """cutoff_table as (stratum, feature) -> cutoff, for few strata."""
-    return {(r["lang_"], f): r[f"cut_{f}"] for r in cutoff_table(good)[0].collect() for f in CUTOFFS if r[f"cut_{f}"] is not None}
+    """cutoff_table as (language, feature) -> cutoff, for few languages with a
+    stratum of their own. Rows without key_ are numbered."""
+    if "key_" not in good.columns:
+        good = good.withColumn("key_", F.monotonically_increasing_id())
+    return {(r["lang_"], f): r[f"cut_{f}"] for r in cutoff_table(good)[0].where("stratum_ is not null").collect() for f in CUTOFFS if r[f"cut_{f}"] is not None}
 
 
-def verdict() -> Column:
-    """True where a rule rejects."""
-    out = F.lit(False)
-    for f in CUTOFFS:
-        out = out | F.coalesce(F.col(f) > F.col(f"cut_{f}"), F.lit(False))
-    return out
+def verdict(joint: dict[str, float | None]) -> Column:
+    """True where a rule rejects. joint: cutoffs of languages without labels."""
+    return _any(F.col(f) > F.when(F.col("known_"), F.col(f"cut_{f}")).otherwise(F.lit(joint[f]).cast("double")) for f in CUTOFFS)
 
 
 def judged(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The carried columns of docs (all, if not said; it has text, doc_id and
     perhaps lang) plus the counts, base_failed and kept. Conflicting labels of one document count as bad.
-    Empty tables, or no labels, leave the base rules alone."""
+    Empty tables, or no labels, leave the base rules alone. Texts may be of any
+    length; repeated rows get equal results; a feature equal to a cutoff passes."""
     named = {c.lower() for c in docs.columns}
     carry = [c for c in carry or docs.columns if c.lower() not in {*COUNTS, "kept"}]
     if not {"doc_id", "text"} <= named:
@@ -166,6 +218,10 @@ def judged(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -
     feats = written(rows.select("own_", "key_", "lang_", *COUNTS, *CUTOFFS), "quality-features")
     best = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     good = feats.where("not base_failed").select("key_", "lang_", *CUTOFFS).join(best, F.col("key_") == F.col("doc_id"), "left_semi")
-    found, strata = cutoff_table(good)
+    found, langs = cutoff_table(good)
     cuts = written(found, "quality-cutoffs")
-    return feats.join(sized(cuts, strata, STRATUM_BYTES), "lang_", "left").select("own_.*", *COUNTS, (~F.col("base_failed") & ~verdict()).alias("kept"))
+    first = cuts.where("stratum_ is null").first()
+    joint = {f: first[f"cut_{f}"] if first else None for f in CUTOFFS}
+    cuts = cuts.withColumn("known_", F.lit(True)).drop("stratum_")
+    rows = feats.join(sized(cuts, langs, STRATUM_BYTES), "lang_", "left").withColumn("known_", F.coalesce("known_", F.lit(False)))
+    return rows.select("own_.*", *COUNTS, (~F.col("base_failed") & ~verdict(joint)).alias("kept"))

@@ -73,10 +73,18 @@ def quality_sql() -> str:
   case when n_lines > 0 then n_dup_lines / n_lines else 0 end as dup_line_rate, case when n_words > 0 then (length(text) - length(regexp_replace(text, '[!?]+', '', 'g'))) / n_words else 0 end as mark_rate from counted),
  rates as ({rates}), cuts(f, i, c) as (values {cuts}),
  good as (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1),
- seen as (select lang, rates.f, i, c, count(*) as n, count(*) filter (where v > c) as k from rates join good using (doc_id) join cuts on rates.f = cuts.f where not base_failed group by all),
- strata as (select lang from seen group by lang order by max(n) desc, lang limit {q.STRATA}),
- tested as (select seen.*, list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({q.EPSILON}) + (n - j) * ln(1 - {q.EPSILON})))) <= {q.DELTA} / ((select count(*) from strata) * {len(q.CUTOFFS)}) as fine from seen join strata using (lang)),
- cutoff as (select lang, f, min(c) as c from (select *, coalesce(min(case when not fine then i end) over (partition by lang, f), 1000) as stop from tested) where i < stop group by lang, f),
+ g as (select feats.doc_id, lang, substr(md5(cast(feats.doc_id as varchar)), 1, 1) < '{q.PICKED}' as pick, {", ".join(q.CUTOFFS)} from feats join good using (doc_id) where not base_failed),
+ sizes as (select lang, count(*) filter (not pick) as held from g group by lang), langs as (select count(*) + 1 as m from sizes),
+ strata as (select lang, case when held >= ceil(ln({q.DELTA} / m) / ln(1 - {q.EPSILON})) then 'own ' || lang else 'joint' end as stratum from sizes, langs),
+ long as (select g.doc_id, stratum, pick, u.f, u.v from g join strata using (lang), unnest([{{'f': 'none', 'v': 0.0}}, {", ".join(f"{{'f': '{f}', 'v': {f}}}" for f in q.CUTOFFS)}]) as t(u)),
+ found as (select stratum, f, i from (select stratum, long.f, i, count(*) as n, count(*) filter (v > c) as k from long join cuts on long.f = cuts.f where pick group by all) where k <= {q.EPSILON / (2 * len(q.CUTOFFS))!r} * n),
+ strictest as (select stratum, f, max(i) as i from found group by stratum, f),
+ settings as (select stratum, f, s, c from (select * from strictest, unnest([{", ".join(map(str, q.NOTCHES))}]) as u(s)) as z join cuts using (f) where cuts.i = z.i - s),
+ held as (select doc_id, stratum, s, bool_or(coalesce(v > c, false)) as gone from (select * from long, unnest([{", ".join(map(str, q.NOTCHES))}]) as u(s) where not pick) as l left join settings using (stratum, f, s) group by all),
+ tested as (select stratum, s, list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({q.EPSILON}) + (n - j) * ln(1 - {q.EPSILON})))) <= {q.DELTA} / m as fine
+  from (select stratum, s, count(*) as n, count(*) filter (gone) as k from held group by all), langs),
+ passed as (select stratum, min(s) as s from (select *, coalesce(max(case when not fine then s end) over (partition by stratum), -1) as stop from tested) where s > stop group by stratum),
+ cutoff as (select d.lang, settings.f, settings.c from (select distinct lang from feats) as d left join strata using (lang) join settings on settings.stratum = coalesce(strata.stratum, 'joint') join passed on passed.stratum = settings.stratum and passed.s = settings.s),
  bad as (select distinct doc_id from rates join cutoff using (lang, f) where v > c)
  select feats.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.doc_id is null as kept from feats left join bad on bad.doc_id = feats.doc_id"""
 

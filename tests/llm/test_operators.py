@@ -172,6 +172,30 @@ def test_quality_cutoffs_of_all_languages(spark):
         assert all(r["b"] == (q.tail(r["n"], r["k"], q.EPSILON) <= level) for r in got)
 
 
+def test_quality_small_strata_are_one(spark):
+    """Languages too small to prove anything share cutoffs, those without
+    labels too; a stratum whose good documents a rule would reject keeps them."""
+    from pyspark.sql import functions as F
+
+    from tallyforge.llm import quality_rules as q
+
+    words = "some plain words of a document that goes on for a while"
+    loud = words.upper()  # usual in 'up', never seen in good documents elsewhere
+    rows = [(i, loud if i % 3 == 0 else words, "up") for i in range(600)]
+    rows += [(1000 + i, words, f"s{i % 40}") for i in range(400)]
+    judged = [(5000, loud, "up"), (5001, loud, "s3"), (5002, loud, "new"), (5003, words, "new"), (5004, words.replace(" ", " ### "), "up")]
+    docs = spark.createDataFrame(rows + judged, "doc_id long, text string, lang string")
+    labels = docs.where("doc_id < 5000").select("doc_id", F.lit(1).alias("quality"))
+    kept = {r["doc_id"]: r["kept"] for r in q.judged(docs, labels).where("doc_id >= 5000").collect()}
+    assert kept == {5000: True, 5001: False, 5002: False, 5003: True, 5004: False}
+    found, langs = q.cutoff_table(docs.where("doc_id < 5000").select(F.col("doc_id").alias("key_"), F.col("lang").alias("lang_"), *[F.lit(0.0).alias(f) for f in q.CUTOFFS]))
+    assert langs == 41 and {r["stratum_"] for r in found.collect()} == {"up", None}
+    # The least number of holdout documents is just enough for a setting that rejects none of them.
+    for m in (1, 5, 71):
+        n = q.least(m)
+        assert q.tail(n, 0, q.EPSILON) <= q.DELTA / m < q.tail(n - 1, 0, q.EPSILON)
+
+
 # ---- repeated strings
 
 
