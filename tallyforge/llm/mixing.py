@@ -3,11 +3,17 @@
 A classifier learned from the labelled table gives each document a posterior
 over domains (good, toxic, low quality). Its words' evidence is naive Bayes on a
 bounded vocabulary, the words most telling between domains, and on bins of a few
-rates. The rates r of documents, all >= 0, are fitted by projected gradient
-steps so that the expected tokens of each domain, the sum over documents of
-r * words * posterior, meet the targets in least squares: a step moves each rate
-against its posterior times the residuals and cuts it at zero. A document is
-then repeated floor(r + u) times, u being its own fixed uniform number.
+rates. The rates r of documents, all >= 0, are fitted so that the expected tokens
+of each domain, the sum over documents of r * words * posterior, meet the targets
+in least squares, plus RIDGE times the squared distance of rates from one, which
+chooses among the many rates that meet them and keeps those of targets out of
+reach finite. Gradient steps add up from a rate of one on, and the sum is cut at
+zero (a projected gradient with lazy projection), so a rate is one minus the
+posterior times one vector, cut at zero. Steps are scaled by the Gram matrix of
+the documents whose rate is above zero; each pass tries a few lengths and takes
+the best. It ends when the projected gradient is zero, or says how far it got. A
+document is then repeated floor(r + u) times, u being its own fixed uniform
+number.
 
 Work over documents is in DataFrame functions: each step is one aggregation of
 a written table of one narrow row per document; the driver holds numbers per
@@ -17,6 +23,7 @@ domain and the vocabulary.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +34,11 @@ DOMAINS = ("good", "toxic", "low")
 #: Share of the tokens that each domain is to have; the total is kept.
 TARGETS = {"good": 0.96, "toxic": 0.02, "low": 0.02}
 #: Labelled documents read to learn from, by hash order; words of the
-#: vocabulary; least documents with a word and least log-likelihood ratio;
-#: steps; residual, as a share of all tokens, to stop at.
-SAMPLE, VOCABULARY, LEAST, TELLING, STEPS, TOLERANCE = 4000, 256, 5, 14.0, 25, 1e-4
+#: vocabulary; least documents with a word and least log-likelihood ratio.
+SAMPLE, VOCABULARY, LEAST, TELLING = 4000, 256, 5, 14.0
+#: Weight of the distance of rates from one; passes at most; projected gradient
+#: (a share of all tokens) to stop at; lengths of a step; gap that is reported.
+RIDGE, STEPS, TOLERANCE, LENGTHS, REPORTED = 1e-6, 40, 1e-6, (1.0, 0.3, 0.1, 0.02), 0.01
 RATES = {"repeat": (0.02, 0.1, 0.3, 0.6), "symbol": (0.002, 0.02, 0.1), "upper": (0.1, 0.25, 0.5), "mark": (0.02, 0.2, 0.5)}
 SPACE = r"[ \t-\r]+"
 
@@ -118,39 +127,50 @@ def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("*", *[(F.get("e_", F.lit(d)) / F.col("sum_")).alias(f"p_{name}") for d, name in enumerate(DOMAINS)]).drop("bins", "hits", "logs_", "top_", "e_", "sum_")
 
 
-def fitted(rows: DataFrame, targets: dict[str, float]) -> tuple[list[list[float]], dict[str, float]]:
-    """The steps' moves (by domain), and the tokens reached. A rate is one
-    minus its posterior times each move in turn, cut at zero each time, so the
-    moves are all that a document's rate depends on."""
+def fitted(rows: DataFrame, targets: dict[str, float]) -> tuple[list[float], dict[str, float]]:
+    """The vector (by domain) that all rates follow from, and the tokens
+    reached. rows: n_tokens and p_<domain>. One aggregation a pass."""
     names = [f"p_{d}" for d in DOMAINS]
     k = range(len(names))
-    pairs = [(i, j) for i in k for j in k if i <= j]
-    moves: list[list[float]] = []
-    reached = {d: 0.0 for d in DOMAINS}
-    before = math.inf
+    want = [targets[d] for d in DOMAINS]
+    pull, total = [0.0] * len(names), 0.0
+    tried, length, best = [pull], 1.0, None
     for _ in range(STEPS):
-        # Only rates that are not cut at zero move, so their Gram matrix scales the step.
-        live = rows.withColumn("r_", rate(moves)).withColumn("n_", F.when(F.col("r_") > 0, F.col("n_tokens")).otherwise(0))
         sums = [F.sum("n_tokens").alias("n")]
-        sums += [F.sum(F.col("n_tokens") * F.col("r_") * F.col(p)).alias(f"got{i}") for i, p in enumerate(names)]
-        sums += [F.sum(F.col("n_") * F.col(names[i]) * F.col(names[j])).alias(f"m{i}{j}") for i, j in pairs]
-        got = live.agg(*sums).first()
+        for c, x in enumerate(tried):
+            r, live = F.col(f"r{c}"), F.when(F.col(f"r{c}") > 0, F.col("n_tokens")).otherwise(0)
+            sums += [F.sum(F.col("n_tokens") * r * r).alias(f"s{c}"), *[F.sum(F.col("n_tokens") * r * F.col(p)).alias(f"g{c}_{i}") for i, p in enumerate(names)]]
+            sums += [F.sum(live * F.col(names[i]) * F.col(names[j])).alias(f"m{c}_{i}{j}") for i in k for j in k if i <= j]
+        got = rows.select("*", *[rate(x).alias(f"r{c}") for c, x in enumerate(tried)]).agg(*sums).first()
         if not (total := float(got["n"] or 0)):
+            return pull, {d: 0.0 for d in DOMAINS}
+        found = []
+        for c, x in enumerate(tried):
+            reached = [got[f"g{c}_{i}"] / total for i in k]
+            value = got[f"s{c}"] / total / 2 + sum(a * b for a, b in zip(want, x)) + RIDGE / 2 * sum(a * a for a in x)
+            gram = {(i, j): got[f"m{c}_{min(i, j)}{max(i, j)}"] / total for i in k for j in k}
+            found.append((value, x, reached, gram))
+        new = min(found, key=lambda f: f[0])
+        if best is None or new[0] < best[0]:
+            best, length = new, 1.0
+        elif length < 1e-6:
+            break  # no step is better any more
+        else:
+            length *= LENGTHS[-1]
+        _, pull, reached, gram = best
+        gradient = [a - b - RIDGE * c for a, b, c in zip(reached, want, pull)]
+        if max(map(abs, gradient)) < TOLERANCE:
             break
-        reached = {d: got[f"got{i}"] for i, d in enumerate(DOMAINS)}
-        gap = [(reached[d] - targets[d] * total) / total for d in DOMAINS]
-        size = max(map(abs, gap))
-        if size < TOLERANCE or size > 0.995 * before and size < 0.05:
-            break
-        before = size
-        moves.append(solved({(i, j): got[f"m{min(i, j)}{max(i, j)}"] / total for i in k for j in k}, gap))
-    return moves, reached
+        step = solved(gram, gradient)
+        tried = [[a + length * f * b for a, b in zip(pull, step)] for f in LENGTHS]
+    _, pull, reached, _ = best
+    return pull, {d: v * total for d, v in zip(DOMAINS, reached)}
 
 
-def solved(gram: dict, gap: list[float], ridge: float = 1e-4) -> list[float]:
+def solved(gram: dict, gap: list[float]) -> list[float]:
     """Gaussian elimination on the few domains."""
     k = len(gap)
-    a = [[gram[i, j] + (ridge if i == j else 0.0) for j in range(k)] + [gap[i]] for i in range(k)]
+    a = [[gram[i, j] + (RIDGE if i == j else 0.0) for j in range(k)] + [gap[i]] for i in range(k)]
     for i in range(k):
         p = max(range(i, k), key=lambda r: abs(a[r][i]))
         a[i], a[p] = a[p], a[i]
@@ -161,11 +181,8 @@ def solved(gram: dict, gap: list[float], ridge: float = 1e-4) -> list[float]:
     return [a[i][k] / a[i][i] for i in range(k)]
 
 
-def rate(moves: list[list[float]]) -> Column:
-    if not moves:
-        return F.lit(1.0)
-    step = lambda r, m: F.greatest(F.lit(0.0), r - sum((F.get(m, F.lit(d)) * F.col(f"p_{name}") for d, name in enumerate(DOMAINS)), F.lit(0.0)))
-    return F.aggregate(F.lit(moves), F.lit(1.0), step)
+def rate(pull: list[float]) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p_{name}") * v for name, v in zip(DOMAINS, pull, strict=True)), F.lit(0.0)))
 
 
 def uniform() -> Column:
@@ -177,8 +194,11 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """The carried columns of docs (all, if not said) with n_tokens, p_<domain>, rate (>= 0) and copies per row.
 
     Expected tokens by domain meet the targets' shares of all tokens as closely
-    as rates can. Texts without words have no tokens, hence no say, and their
-    rate follows from their posterior. Columns of these names are replaced."""
+    as rates can; where a share misses its target by more than REPORTED a
+    warning says so. Texts without words have no tokens, hence no say, and their
+    rate follows from their posterior. Rows of equal posteriors have equal
+    rates, repeated rows equal copies. An empty table has no rows; texts may be
+    of any length. Columns of these names are replaced."""
     targets = targets or TARGETS
     new = {"n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS)}
     carry = [c for c in carry or docs.columns if c.lower() not in new]
@@ -186,9 +206,12 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     own = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("own_")
     members = memberships(docs.select("doc_id", "text", own), labels)
     rows = written(members.select("own_", "n_tokens", "u_", *[f"p_{d}" for d in DOMAINS]), "mixing-members")
-    moves, _ = fitted(rows.select("n_tokens", *[f"p_{d}" for d in DOMAINS]), targets)
+    pull, reached = fitted(rows.select("n_tokens", *[f"p_{d}" for d in DOMAINS]), targets)
+    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    if total and max(abs(reached[d] / total - targets[d]) for d in DOMAINS) > REPORTED:
+        warnings.warn(f"mixing reaches {', '.join(f'{d} {v / total:.4f}' for d, v in reached.items())} of {targets}", stacklevel=2)
     copies = F.floor(F.col("rate") + F.col("u_")).cast("int").alias("copies")
-    return rows.withColumn("rate", rate(moves)).select("own_.*", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies)
+    return rows.withColumn("rate", rate(pull)).select("own_.*", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies)
 
 
 def repeated(rows: DataFrame, columns: list[str]) -> DataFrame:

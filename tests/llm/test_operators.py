@@ -116,6 +116,55 @@ def test_projected_steps_equal_least_squares(spark):
     assert min(rates) >= 0
 
 
+def dense_nonnegative(a, b):
+    """Non-negative least squares by the active-set method on dense matrices."""
+    x, active = np.zeros(a.shape[1]), []
+    for _ in range(10 * a.shape[1]):
+        slope = a.T @ (b - a @ x)
+        slope[active] = -np.inf
+        if slope.max() <= 1e-13:
+            break
+        active.append(int(slope.argmax()))
+        while True:
+            z = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
+            if z.min() > 0:
+                break
+            part = min(x[j] / (x[j] - v) for j, v in zip(active, z) if v <= 0)
+            x[active] += part * (z - x[active])
+            active = [j for j in active if x[j] > 1e-14]
+            x[[j for j in range(len(x)) if j not in active]] = 0
+        x[:] = 0
+        x[active] = z
+    return x
+
+
+@pytest.mark.parametrize("shape,share", [((0.4, 0.4, 0.4), (0.7, 0.1, 0.2)), ((3, 0.1, 0.1), (0.5, 0.3, 0.2)), ((0.05, 0.05, 3), (0.9, 0.05, 0.05)), ((1, 1, 1), (0.98, 0.01, 0.01))])
+def test_rates_equal_dense_solver(spark, shape, share):
+    """Rates of a feasible, a hard and an unreachable mix against a dense solver of the same problem."""
+    from tallyforge.llm import mixing
+
+    rng = np.random.default_rng(5)
+    p, n = rng.dirichlet(shape, 150), rng.integers(5, 200, 150)
+    df = spark.createDataFrame([(int(a), *map(float, q)) for a, q in zip(n, p)], "n_tokens long, p_good double, p_toxic double, p_low double").coalesce(1)
+    pull, reached = mixing.fitted(df, dict(zip(mixing.DOMAINS, share)))
+    weight = n / n.sum()
+    ridge = np.sqrt(mixing.RIDGE * weight)
+    want = dense_nonnegative(np.vstack([weight * p.T, np.diag(ridge)]), np.concatenate([share, ridge]))
+    rates = np.array([r["r"] for r in df.select(mixing.rate(pull).alias("r")).collect()])
+    loss = lambda r: float((((weight * r) @ p - share) ** 2).sum() + (mixing.RIDGE * weight * (r - 1) ** 2).sum())
+    assert loss(rates) <= loss(want) * (1 + 1e-6) + 1e-10 and rates.min() >= 0
+    assert np.allclose([reached[d] / n.sum() for d in mixing.DOMAINS], (weight * rates) @ p)
+
+
+def test_mixing_says_what_it_misses(spark):
+    from tallyforge.llm import mixing
+
+    docs = docs_of(spark, ["plain words of a text that says little " * 3] * 30)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="mixing reaches"):
+        assert mixing.mixed(docs, labels, {"good": 0.1, "toxic": 0.8, "low": 0.1}).count() == 30
+
+
 # ---- quality rules
 
 
