@@ -32,6 +32,9 @@ TABLES, HASHES, WIDTH, PROBES, SEED = 32, 10, 2.0, 80, 7
 CHUNK, BLOCK, GROUP = 2048, 1024, 128
 #: Pairs that get their exact score at once.
 PAIRS = 1 << 18
+#: Below one candidate in so many pairs a chunk's products are made one by one;
+#: a product in a matrix costs about that much less.
+SPARSE = 16
 SLACK = 1e-9
 
 
@@ -60,19 +63,19 @@ class Hashes:
         return (cell @ self.mix)[:, None] + (self.steps @ self.mix)[best]
 
 
-def _unpack(ids: bytes, vecs: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(ids: bytes, vecs: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(vecs, "<f4").reshape(len(i), -1).astype(float)
+    return i, np.frombuffer(vecs, kind).reshape(len(i), -1).astype(float)
 
 
-def _packed(rows: int):
+def _packed(rows: int, kind: str):
     """Rows (id, v, g) sorted by g into packed rows (g, ids, vecs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, rows):
                 part = b.slice(s, rows)
-                v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f4")
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind)
                 i = part.column("id").to_numpy(zero_copy_only=False).astype("<i8")
                 yield pa.RecordBatch.from_arrays([pa.array([int(i[0])]), pa.array([i.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["at", "ids", "vecs"])
 
@@ -104,7 +107,7 @@ def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
     return q[keep], c[keep], s[keep]
 
 
-def _search(k: int, exact: bool):
+def _search(k: int, exact: bool, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, hashes, best = None, None, None
 
@@ -118,7 +121,7 @@ def _search(k: int, exact: bool):
                     if best is not None and len(best[0]):
                         yield flush()
                     block = r["q_at"]
-                    qid, qv = _unpack(r["q_ids"], r["q_vecs"])
+                    qid, qv = _unpack(r["q_ids"], r["q_vecs"], kind)
                     qn = np.linalg.norm(qv, axis=1)
                     qu = qv / qn[:, None]
                     best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -129,7 +132,7 @@ def _search(k: int, exact: bool):
                             p = hashes.probes(qu, t)
                             o = np.argsort(p, axis=None, kind="stable")
                             probes.append((p.ravel()[o], (o // p.shape[1]).astype(np.int32)))
-                cid, cv, starts = _distinct(*_unpack(r["ids"], r["vecs"]))
+                cid, cv, starts = _distinct(*_unpack(r["ids"], r["vecs"], kind))
                 cn = np.linalg.norm(cv, axis=1)
                 cu = cv / cn[:, None]
                 if exact:
@@ -143,7 +146,13 @@ def _search(k: int, exact: bool):
                         col = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
                         found[row, owner[col]] = True
                 found &= cid[:, None] != qid[None]
-                near = np.where(found, cu @ qu.T, -2.0)
+                if np.count_nonzero(found) * SPARSE < found.size:  # few candidates: only their products are made
+                    near, at = np.full(found.shape, -2.0), np.nonzero(found)
+                    for s in range(0, len(at[0]), PAIRS):
+                        c, q = at[0][s : s + PAIRS], at[1][s : s + PAIRS]
+                        near[c, q] = np.einsum("ij,ij->i", cu[c], qu[q])
+                else:
+                    near = np.where(found, cu @ qu.T, -2.0)
                 # All that may be among the k best ids, ties included; these get the exact score.
                 top = np.maximum.reduceat(near, starts, axis=0)
                 kth = np.partition(top, len(top) - k, axis=0)[len(top) - k] if len(top) > k else np.full(len(qid), -2.0)
@@ -159,13 +168,13 @@ def _search(k: int, exact: bool):
     return run
 
 
-def _met(blocks: DataFrame, chunks: DataFrame, groups: int, k: int, exact: bool) -> DataFrame:
+def _met(blocks: DataFrame, chunks: DataFrame, groups: int, k: int, exact: bool, kind: str) -> DataFrame:
     """The k best per query. Query blocks are laid out once per group of
     chunks, and met there by an equality join."""
     laid = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("at").alias("q_at"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
     grouped = chunks.withColumn("g", F.pmod(F.xxhash64("at"), F.lit(groups)).cast("int"))
     met = grouped.join(laid.hint("merge"), "g").sortWithinPartitions("q_at")
-    found = met.mapInArrow(_search(k, exact), "query_id long, vec_id long, score double")
+    found = met.mapInArrow(_search(k, exact, kind), "query_id long, vec_id long, score double")
     one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -177,11 +186,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both tables have vec_id and embedding. Null, zero and non-finite vectors
     and those of another than the most frequent length take no part. A query's
     own vec_id is no candidate. Rows that repeat a vec_id count once per
-    candidate, with their best score; repeated queries are one query."""
+    candidate, with their best score; repeated queries are one query. Vectors
+    of doubles are kept as doubles. Ties go to the smaller vec_id; an empty
+    table, or no query, gives no rows; other columns are ignored."""
+    wide = vectors.schema["embedding"].dataType.elementType.typeName() == "double"
+    kind, array = ("<f8", "array<double>") if wide else ("<f4", "array<float>")
 
     def valid(df: DataFrame) -> DataFrame:
         v = F.col("embedding")
-        df = df.select(F.col("vec_id").cast("long").alias("id"), v.cast("array<float>").alias("v"))
+        df = df.select(F.col("vec_id").cast("long").alias("id"), v.cast(array).alias("v"))
         fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
         return df.where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
@@ -192,13 +205,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = sizes["d"], sizes["count"]
     packed = "at long, ids binary, vecs binary"
-    chunks = written(rows.where(F.size("v") == dim).mapInArrow(_packed(CHUNK), packed), "ann-chunks")
+    chunks = written(rows.where(F.size("v") == dim).mapInArrow(_packed(CHUNK, kind), packed), "ann-chunks")
     asked = written(asked.where(F.size("v") == dim), "ann-queries")
     groups = max(12, spark.sparkContext.defaultParallelism, -(-n // (CHUNK * GROUP)))
-    found = written(_met(asked.mapInArrow(_packed(BLOCK), packed), chunks, groups, k, False), "ann-found")
+    found = written(_met(asked.mapInArrow(_packed(BLOCK, kind), packed), chunks, groups, k, False, kind), "ann-found")
     got = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("got"))
     short = written(asked.join(got, "id", "left").where(F.coalesce("got", F.lit(0)) < min(k, n - 1)).select("id", "v"), "ann-short")
     if short.isEmpty():
         return found
-    rest = _met(short.mapInArrow(_packed(BLOCK), packed), chunks, groups, k, True)
+    rest = _met(short.mapInArrow(_packed(BLOCK, kind), packed), chunks, groups, k, True, kind)
     return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)

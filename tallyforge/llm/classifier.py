@@ -6,6 +6,7 @@ the terms projected on the leading singular vectors of a bounded sample of
 labelled texts. The sample's vectors are broadcast; every document gets exact
 cosines with all of them, in blocks, and its NEIGHBOURS nearest vote with
 their label, weighted by similarity and by how thinly their class was sampled.
+Of equally near ones (to EQUAL decimals) those of smaller doc_id vote.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ BUCKETS, DIMS, NEIGHBOURS, BLOCK = 2048, 48, 25, 256
 #: Labelled texts per class that are sampled, by hash order of doc_id: a bound
 #: on what the driver gets (rows of 4 * (BUCKETS + STYLE) bytes) and broadcasts.
 SAMPLE = 1200
-CUT, POWER = 0.3, 8.0
+CUT, POWER, EQUAL = 0.3, 8.0, 9
 EDGES = {"repeat": (0.001, 0.05, 0.2, 0.5), "same": (0.02, 0.1, 0.3), "symbol": (0.001, 0.01, 0.03, 0.1), "upper": (0.08, 0.2, 0.5), "mark": (0.01, 0.1, 0.4)}
 STYLE = sum(len(e) + 1 for e in EDGES.values())
 STYLE_WEIGHT = 0.6
@@ -78,17 +79,21 @@ class Model:
         self.mean = w.mean(0)
         w = w - self.mean
         values, vectors = np.linalg.eigh(w.T @ w)
-        self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :DIMS]).astype(np.float32)
-        self.vectors, self.y = _unit(w @ self.basis), y.astype(np.float32)
+        self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :DIMS]).astype(float)
+        self.vectors, self.y = _unit(w @ self.basis), y.astype(float)
         share = np.array([sizes[k] / max(1, (y == k).sum()) for k in (0, 1)])
-        self.weight = np.where(y == 1, share[1], share[0]).astype(np.float32)
+        self.weight = np.where(y == 1, share[1], share[0])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         v = _unit((_weighted(x, self.idf) - self.mean) @ self.basis)
-        cos = v @ self.vectors.T
+        # In double precision a product hardly depends on the batch; what is left is rounded away.
+        cos = np.round(v @ self.vectors.T, EQUAL)
         k = min(NEIGHBOURS, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        vote = np.maximum(1e-6, np.take_along_axis(cos, near, 1)).astype(float) ** POWER * self.weight[near]
+        kth = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+        above, same = cos > kth, cos == kth
+        same &= np.cumsum(same, axis=1) <= k - above.sum(1)[:, None]  # the labelled are in order of doc_id
+        near = np.nonzero(above | same)[1].reshape(-1, k)
+        vote = np.maximum(1e-6, np.take_along_axis(cos, near, 1)) ** POWER * self.weight[near]
         return (vote * self.y[near]).sum(1) / vote.sum(1)
 
 
@@ -123,7 +128,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted. Without any
     usable label every score is 0.5. Null and empty texts are scored by their
-    style alone."""
+    style alone; texts may be of any length. Repeated rows get equal scores; an
+    empty table has none."""
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

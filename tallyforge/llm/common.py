@@ -34,18 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where the
-    session names none (tests in one process) is a temporary folder used."""
+    """The folder all executors share: spark.checkpoint.dir. Where the session
+    names none, a local master (one process, as in tests) gets a temporary
+    folder; on a cluster that would be each machine's own, so it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context.isDefined():
             at = context.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             import tempfile
 
             at = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
             spark.conf.set("spark.checkpoint.dir", at)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return at.rstrip("/")
 
 

@@ -14,9 +14,11 @@ is shorter. Entries alone in their interval are let go. After LENGTH bytes the
 intervals are the repeated strings; all but the earliest
 place of each are repeats. No suffix is sorted again across shards.
 
-Groups of one anchor with more than HOT different runs are decided by their
-windows' 128-bit hashes instead, whose least place is found with partial
-aggregation. Runs are compared by a 64-bit hash beside the 64-bit anchor.
+Groups of one anchor with more than HOT different runs, or HEAVY bytes in them,
+would be too much for one task. Their runs are cut again by anchors of another
+hash, of which equal windows have equal ones too, and dealt by these. What even
+so is too much (periodic bytes, mostly) is decided by the windows' 128-bit
+hashes, whose least place is found with partial aggregation. Runs are compared by a 64-bit hash beside the 64-bit anchor.
 """
 
 from __future__ import annotations
@@ -35,11 +37,15 @@ LENGTH, GRAM = 100, 32
 WIDE = LENGTH - GRAM + 1
 #: Bytes by which a step of the merge goes on; LENGTH is a multiple.
 STEP = 2
-#: Different runs of one anchor that one task merges (about 140 bytes each);
-#: bytes of a shard and of a group of shards; windows of a text read at once.
-HOT, SHARD, GROUP, BLOCK = 16_384, 1 << 19, 1 << 21, 1 << 20
+#: Different runs of one anchor that one task merges (about 140 bytes each), and
+#: bytes; bytes of a shard and of a group of shards; windows of a text read at
+#: once, windows hashed at once.
+HOT, HEAVY, SHARD, GROUP, BLOCK, HASHED = 16_384, 1 << 22, 1 << 19, 1 << 21, 1 << 20, 1 << 16
+#: Bytes of a run in a broadcast list, as built in memory.
+LISTED = 80
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 LAST = (1 << 63) - 1
+SALT = 0x27D4EB2F165667C5
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,14 +64,14 @@ def _slid(h: np.ndarray, best) -> np.ndarray:
     return best(h[: len(h) - (WIDE - w)], h[WIDE - w :])
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of each window of data (LENGTH bytes at least), and the
-    anchors that stand at two places within a window's reach of each other,
+def anchors(data: bytes, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of each window of data (LENGTH bytes at least; another for
+    another salt), and the anchors that stand at two places within a window's reach of each other,
     whose runs may repeat windows of their own."""
     n = len(data)
     h = _mix(np.ndarray((n - 7,), "<u8", data, strides=(1,)) * K1)
     h = _mix(h[:-8] * K3 + h[8:])
-    h = _mix(h[:-16] * K1 + h[16:])
+    h = _mix((h[:-16] ^ np.uint64(salt)) * K1 + h[16:])
     m = _slid(h, np.minimum)
     edge = np.zeros(WIDE - 1, np.uint64)
     at = np.flatnonzero(_slid(np.concatenate([edge, m, edge]), np.maximum) == h)  # where anchors stand
@@ -251,15 +257,28 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
+def _recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hot runs cut by another anchor, mixed with the first."""
+    for b in batches:
+        for a, doc, tie, start, s in zip(*(b.column(k).to_pylist() for k in ("a", "doc", "tie", "start", "s")), strict=True):
+            m, _ = anchors(s, SALT)
+            cut = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1], [True]])).tolist()
+            keys = _mix(m[cut[:-1]] * K3 + np.uint64(a % (1 << 64))).view(np.int64)
+            parts = [s[p : q + LENGTH - 1] for p, q in zip(cut, cut[1:])]
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([doc] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array([start + p for p in cut[:-1]], pa.int32()), pa.array(parts, pa.binary())], ["a", "doc", "tie", "start", "s"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the hot runs with its 128-bit hash."""
+    """Each window of the runs with its 128-bit hash."""
     import xxhash
 
     for b in batches:
         for doc, tie, start, s in zip(*(b.column(k).to_pylist() for k in ("doc", "tie", "start", "s")), strict=True):
-            n = len(s) - LENGTH + 1
-            hs = [xxhash.xxh3_128_digest(s[i : i + LENGTH]) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(range(start, start + n), pa.int32())], ["w", "doc", "tie", "start"])
+            for at in range(0, len(s) - LENGTH + 1, HASHED):
+                n = min(HASHED, len(s) - LENGTH + 1 - at)
+                hs = [xxhash.xxh3_128_digest(s[i : i + LENGTH]) for i in range(at, at + n)]
+                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array(range(start + at, start + at + n), pa.int32())], ["w", "doc", "tie", "start"])
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,19 +325,26 @@ def ranges(docs: DataFrame) -> DataFrame:
     firsts = written(again.groupBy("a", "h").agg(F.min(F.struct("doc", "tie", "start", "n")).alias("f"), F.count("*").alias("c"), F.max("own").alias("own")), "suffix-firsts")
     more = firsts.where("c > 1").select("a", "h", F.struct("f.doc", "f.tie", "f.start").alias("first"))
     whole = again.join(more, ["a", "h"]).where(place > F.col("first")).select("doc", "tie", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))
-    several = firsts.groupBy("a").agg(F.count("*").alias("k"), F.max("own").alias("self")).where("k > 1 or self")
-    left = firsts.join(several, "a").select("a", (F.col("k") > HOT).alias("hot"), "f.doc", "f.tie", F.struct("a", "f.start", "f.n", (F.col("k") > HOT).alias("hot")).alias("r"))
+    hot = ((F.count("*") > HOT) | (F.sum(F.col("f.n") + LENGTH - 1) > HEAVY)).alias("hot")
+    several = firsts.groupBy("a").agg(F.count("*").alias("k"), F.max("own").alias("self"), hot).where("k > 1 or self")
+    left = firsts.join(several, "a").select("f.doc", "f.tie", F.struct("a", "f.start", "f.n", "hot").alias("r"))
     lists_ = written(left.groupBy("doc", "tie").agg(F.collect_list("r").alias("own"), F.count("*").alias("c")), "suffix-left")
     size = lists_.agg(F.count("*").alias("rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("runs")).first()
-    lists = sized(lists_.drop("c"), size["rows"] + size["runs"], 32)
+    lists = sized(lists_.drop("c"), size["rows"] + size["runs"], LISTED)
     bits = written(docs.join(lists, ["doc", "tie"]).mapInArrow(_sliced, "a long, hot boolean, doc long, tie long, start int, s binary"), "suffix-bits")
     discard(lists_)
     cold = bits.where("not hot").repartition("a").sortWithinPartitions("a")
     found = whole.unionAll(cold.mapInArrow(_merge, "doc long, tie long, start int, end int"))
     used = [again, firsts, bits]
     if not bits.where("hot").isEmpty():
-        windows = written(bits.where("hot").mapInArrow(_windows, "w binary, doc long, tie long, start int"), "suffix-windows")
-        used.append(windows)
+        dealt = written(bits.where("hot").mapInArrow(_recut, "a long, doc long, tie long, start int, s binary"), "suffix-recut")
+        sizes = dealt.groupBy("a").agg(F.count("*").alias("k"), F.sum(F.length("s")).alias("b")).where((F.col("k") > HOT) | (F.col("b") > HEAVY)).select("a")
+        sizes = written(sizes, "suffix-crowded")
+        # A crowded part has HOT rows or HEAVY bytes at least, so these are few; still a shuffled join, which splits them.
+        cool = dealt.join(sizes.hint("merge"), "a", "left_anti").repartition("a").sortWithinPartitions("a")
+        found = found.unionAll(cool.mapInArrow(_merge, "doc long, tie long, start int, end int"))
+        windows = written(dealt.join(sizes.hint("merge"), "a", "left_semi").mapInArrow(_windows, "w binary, doc long, tie long, start int"), "suffix-windows")
+        used += [dealt, sizes, windows]
         least = windows.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
         found = found.unionAll(windows.join(least, "w").where(place > F.col("first")).select("doc", "tie", "start", (F.col("start") + LENGTH).alias("end")))
     own = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("own"))

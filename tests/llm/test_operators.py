@@ -288,6 +288,20 @@ def test_repeated_strings(spark, monkeypatch, hot, block, shard):
     assert got == repeated(texts)
 
 
+def test_repeated_strings_of_heavy_anchors(spark, monkeypatch):
+    """Bytes, not runs, make an anchor hot; what is crowded after it is cut again goes by hashes."""
+    from tallyforge.llm import suffix_dedup as s
+
+    rng = random.Random(14)
+    body = "".join(rng.choice("abcdefgh") for _ in range(700))
+    texts = ["z" * n for n in (4000, 3000, 101)] + [body[:k] + "#" + body[k:] for k in range(120, 600, 60)] + ["xy" * 1500 + body[:300], "w" * 90]
+    for heavy, hashed in ((2000, 64), (600, 1 << 16), (1 << 22, 64)):
+        monkeypatch.setattr(s, "HEAVY", heavy)
+        monkeypatch.setattr(s, "HASHED", hashed)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in s.deduplicated(docs_of(spark, texts)).collect()}
+        assert got == repeated(texts)
+
+
 def test_merge_of_transforms_equals_counting():
     from tallyforge.llm import suffix_dedup as s
 
@@ -326,6 +340,29 @@ def test_classifier_held_out(spark, awkward, labels, empty, no_labels):
     assert classifier.scored(empty, labels).count() == 0
 
 
+def test_votes_equal_plain_loop():
+    """Each score against a loop over all labelled vectors, ties included."""
+    from tallyforge.llm import classifier as c
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6)))
+    texts = [" ".join(word() for _ in range(rng.randint(3, 30))) for _ in range(60)]
+    texts += texts[:20] * 2  # repeats tie
+    y = np.array([rng.randint(0, 1) for _ in texts])
+    x = np.stack([c.terms(t) for t in texts])
+    model = c.Model(x, y, (30, 50))
+    asked = np.stack([c.terms(t) for t in [*texts[:15], "", "new words", "### ! " * 9]])
+    got = model.score(asked)
+    share = [n / (y == k).sum() for k, n in ((0, 30), (1, 50))]
+    for row, score in zip(asked, got):
+        v = ((c._weighted(row[None], model.idf) - model.mean) @ model.basis)[0]
+        cos = [round(float(v @ u / max(1e-12, np.linalg.norm(v))), c.EQUAL) for u in model.vectors]
+        near = sorted(range(len(cos)), key=lambda i: (-cos[i], i))[: c.NEIGHBOURS]
+        vote = [max(1e-6, cos[i]) ** c.POWER * share[y[i]] for i in near]
+        assert abs(score - sum(a for a, i in zip(vote, near) if y[i]) / sum(vote)) < 1e-6
+    assert np.allclose(got, [model.score(r[None])[0] for r in asked], atol=1e-9)  # batches make no difference
+
+
 # ---- personal data
 
 
@@ -579,6 +616,22 @@ def test_nearest_recall_and_ties(spark):
     assert ann.nearest(few.limit(0), few).count() == 0
 
 
+def test_nearest_of_doubles(spark, monkeypatch):
+    """Scores of double vectors lose nothing; products one by one equal those in a matrix."""
+    from tallyforge.llm import ann
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    n = np.linalg.norm(x, axis=1)
+    rows = []
+    for sparse in (1 << 40, 0):
+        monkeypatch.setattr(ann, "SPARSE", sparse)
+        rows.append(ann.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect())
+        assert all(abs(r["score"] - x[r["vec_id"]] @ x[r["query_id"]] / (n[r["vec_id"]] * n[r["query_id"]])) < 1e-14 for r in rows[-1])
+    assert rows[0] == rows[1] and len(rows[0]) == 30
+
+
 def test_nearest_repeated_ids(spark):
     """One vec_id in most rows of every chunk, another with many vectors: both
     count once, and their neighbours are found."""
