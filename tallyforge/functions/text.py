@@ -224,16 +224,9 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """(len a + len b - indel distance) / (len a + len b), the distance being
     insertions and deletions only; batches come by Arrow."""
 
+    from .fuzzy import ratio
+
     def one(x, y):
-        if x is None or y is None:
-            return None
-        if not x and not y:
-            return 1.0
-        row = [0] * (len(y) + 1)
-        for p in x:
-            diagonal = 0
-            for j, q in enumerate(y, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if p == q else max(row[j], row[j - 1])
-        return 2.0 * row[-1] / (len(x) + len(y))
+        return None if x is None or y is None else ratio(x, y)
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -143,3 +143,32 @@ def mean_template(images: DataFrame, key: str = "style_num") -> DataFrame:
         return pd.DataFrame([(pdf[key].iloc[0], pdf["h"].iloc[0], pdf["w"].iloc[0], ((total - total.min()) / span * 255).round().astype(np.uint8).tobytes())], columns=[key, "h", "w", "pixels"])
 
     return part.groupBy(key, "h", "w").applyInPandas(united, f"{key} string, h int, w int, pixels binary")
+
+
+def bands(templates: DataFrame, columns: int = 1) -> DataFrame:
+    """style_num, roi_idx, x, y, w, h: bands with ink of a template's columns of
+    equal width, column by column from the top. templates: style_num, h, w,
+    pixels."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for t in pdf.itertuples():
+                image = np.frombuffer(t.pixels, np.uint8).reshape(t.h, t.w)
+                edges = [c * t.w // columns for c in range(columns + 1)]
+                found = [(a, y, b - a, y2 - y) for a, b in zip(edges, edges[1:]) for y, y2 in white_gaps(image[:, a:b])]
+                out += [(t.style_num, i, *box) for i, box in enumerate(found)]
+            yield pd.DataFrame(out, columns=["style_num", "roi_idx", "x", "y", "w", "h"])
+
+    return templates.select("style_num", "h", "w", "pixels").mapInPandas(run, "style_num string, roi_idx int, x int, y int, w int, h int")
+
+
+def with_words(rois: DataFrame, words: DataFrame) -> DataFrame:
+    """rois with ocr_text: the words whose middle lies in them, in order. A
+    word looks its region up in its style's list, so no pairs are made."""
+    lists = rois.groupBy("style_num").agg(F.collect_list(F.struct("roi_idx", "x", "y", "w", "h")).alias("r"))
+    x, y = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    inside = F.filter("r", lambda r: (x >= r["x"]) & (x < r["x"] + r["w"]) & (y >= r["y"]) & (y < r["y"] + r["h"]))
+    placed = words.join(lists, "style_num").withColumn("roi_idx", F.get(inside, F.lit(0))["roi_idx"]).where("roi_idx is not null")
+    texts = placed.groupBy("style_num", "roi_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_ord", "text"))), lambda s: s["text"]), " ").alias("ocr_text"))
+    return rois.join(texts, ["style_num", "roi_idx"], "left").withColumn("ocr_text", F.coalesce("ocr_text", F.lit("")))

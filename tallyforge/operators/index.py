@@ -40,6 +40,26 @@ def included(df: DataFrame, key: str, include: DataFrame | None, exclude: DataFr
     return df.join(exclude, key, "left_anti") if exclude is not None else df
 
 
+def selected(df: DataFrame, order: list[str], precincts: Column | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Ballots of the precincts, then of the lists (ballot_id), then without
+    the first `skip`, then at most `limit`, in order."""
+    df = included(df if precincts is None else df.where(precincts), "ballot_id", include, exclude)
+    if not skip and limit is None:
+        return df
+    df = df.orderBy(*order)
+    df = df.offset(skip) if skip else df
+    return df if limit is None else df.limit(limit)
+
+
+#: Bytes below which a ballot's file is a printed summary's.
+SUMMARY_BYTES = 25_000
+
+
+def summaries(files: DataFrame, below: int = SUMMARY_BYTES) -> DataFrame:
+    """ballot_id, is_bmd of ballot files (ballot_id, size of the first one)."""
+    return files.select("ballot_id", (F.col("size") < below).alias("is_bmd"))
+
+
 def repeats(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Each repeat of a key after its first row, numbered from 2."""
     return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("occurrence > 1")

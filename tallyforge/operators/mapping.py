@@ -122,7 +122,17 @@ def pixel_values(images: DataFrame, targets: DataFrame, limit: int = 170, size:
     """ballot_id, contest, option, pmv: dark pixels in each target's box.
     images: ballot_id, style_num, content (PBM, PGM or PNG); targets: style_num,
     contest, option, x, y. Each image is decoded once."""
-    lists = targets.groupBy("style_num").agg(F.collect_list(F.struct("contest", "option", "x", "y")).alias("t"))
+    return measured(images.join(target_lists(targets), "style_num"), limit, size)
+
+
+def target_lists(targets: DataFrame) -> DataFrame:
+    """style_num, t: a style's targets, a few hundred at most, as one list."""
+    return targets.groupBy("style_num").agg(F.collect_list(F.struct("contest", "option", "x", "y")).alias("t"))
+
+
+def measured(images: DataFrame, limit: int = 170, size: tuple[int, int] = (36, 26)) -> DataFrame:
+    """pixel_values() of images that carry their targets t, in the task that
+    has the image."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,4 +140,4 @@ def pixel_values(images: DataFrame, targets: DataFrame, limit: int = 170, size:
                 img = read_image(content)
                 yield pd.DataFrame([(b, t["contest"], t["option"], int((img[t["y"] : t["y"] + size[1], t["x"] : t["x"] + size[0]] <= limit).sum())) for t in ts], columns=["ballot_id", "contest", "option", "pmv"])
 
-    return images.join(lists, "style_num").select("ballot_id", "content", "t").mapInPandas(run, "ballot_id string, contest string, option string, pmv int")
+    return images.select("ballot_id", "content", "t").mapInPandas(run, "ballot_id string, contest string, option string, pmv int")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import html
+import itertools
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a page shows; a report over more is written as a table instead.
+#: Rows that a page shows; a report over more goes on on another page.
 ROWS = 10_000
 
 
@@ -54,11 +56,26 @@ def style_json(styles: DataFrame, options: DataFrame) -> DataFrame:
     return per.select("style_num", F.to_json(F.struct("style_num", F.transform("c", lambda x: F.struct(x["contest"].alias("contest"), x["options"].alias("options"))).alias("contests"))).alias("json"))
 
 
+def pages(df: DataFrame, title: str, rows: int = ROWS) -> Iterator[str]:
+    """A whole table as HTML pages of so many rows each. Rows come to the
+    driver partition by partition and are not held together."""
+    some, at, more = df.toLocalIterator(), 0, True
+    while more or not at:
+        own = list(itertools.islice(some, rows))
+        more, at = len(own) == rows, at + 1
+        if own or at == 1:
+            yield _html(df.columns, own, title if at == 1 else f"{title} ({at})", "")
+
+
 def page(df: DataFrame, title: str, rows: int = ROWS) -> str:
-    """A table as an HTML page; of more rows than a page shows it says so."""
+    """The start of a table as one HTML page; of more rows than a page shows it
+    says so. pages() has them all."""
     got = df.limit(rows + 1).collect()
+    return _html(df.columns, got[:rows], title, f"<p>More than {rows} rows; the first are shown.</p>" if len(got) > rows else "")
+
+
+def _html(columns: list[str], rows: list, title: str, more: str) -> str:
     cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
-    head = "".join(cell("th", c) for c in df.columns)
-    body = "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in got[:rows])
-    more = f"<p>More than {rows} rows; the first are shown.</p>" if len(got) > rows else ""
+    head = "".join(cell("th", c) for c in columns)
+    body = "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in rows)
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{more}<table><tr>{head}</tr>{body}</table></body></html>"

@@ -150,27 +150,15 @@ def option_discrepancy(spark, at):
     return o.groupBy("contest", "option").agg(F.count_if(~F.col("diff").eqNullSafe(0)).alias("disagreed"), F.count_if(~F.col("diff").eqNullSafe(-1)).alias("certified"))
 
 
-def _pmv_lookup(spark, at, which):
-    m = tables.marks(spark, at)
-    asked = tables.table(spark, at, "orders").where(which).select(F.col("o_orderkey").alias("ballot_id"), F.lit("Brand#11").alias("option"))
-    asked = asked.join(m.select("ballot_id", "contest").distinct(), "ballot_id")
-    got = m.groupBy("ballot_id", "contest", "option").agg(F.max("pmv").alias("p"), F.count("*").alias("n"))
-    return asked.join(got, ["ballot_id", "contest", "option"], "left").select("ballot_id", "contest", "option", F.coalesce("p", F.lit(999)).alias("pmv"), (F.coalesce("n", F.lit(0)) > 1).alias("several"))
-
-
-@query(f"""with {MARKS}, asked as (select o_orderkey as ballot_id, 'PROMO' as contest, 'Brand#11' as "option" from orders where o_orderkey % 7 = 0),
- got as (select ballot_id, contest, "option", max(pmv) as pmv, count(*) as n from marks group by all)
- select ballot_id, a.contest, a."option", coalesce(pmv, 999) as pmv, coalesce(n, 0) > 1 as several from (select asked.ballot_id, c.contest, asked."option" from asked join (select distinct ballot_id, contest from marks) c using (ballot_id)) a left join got using (ballot_id, contest, "option")""")
-def pmv_lookup(spark, at):
-    """The SQL's seventh of the ballots; pmv_lookup_all has all."""
-    return _pmv_lookup(spark, at, "o_orderkey % 7 = 0")
-
-
 @query(f"""with {MARKS}, asked as (select o_orderkey as ballot_id, 'PROMO' as contest, 'Brand#11' as "option" from orders),
  got as (select ballot_id, contest, "option", max(pmv) as pmv, count(*) as n from marks group by all)
  select ballot_id, a.contest, a."option", coalesce(pmv, 999) as pmv, coalesce(n, 0) > 1 as several from (select asked.ballot_id, c.contest, asked."option" from asked join (select distinct ballot_id, contest from marks) c using (ballot_id)) a left join got using (ballot_id, contest, "option")""")
 def pmv_lookup_all(spark, at):
-    return _pmv_lookup(spark, at, "true")
+    m = tables.marks(spark, at)
+    asked = tables.table(spark, at, "orders").select(F.col("o_orderkey").alias("ballot_id"), F.lit("Brand#11").alias("option"))
+    asked = asked.join(m.select("ballot_id", "contest").distinct(), "ballot_id")
+    got = m.groupBy("ballot_id", "contest", "option").agg(F.max("pmv").alias("p"), F.count("*").alias("n"))
+    return asked.join(got, ["ballot_id", "contest", "option"], "left").select("ballot_id", "contest", "option", F.coalesce("p", F.lit(999)).alias("pmv"), (F.coalesce("n", F.lit(0)) > 1).alias("several"))
 
 
 @query(f"with {MARKS} select cast(least(floor(pmv / 10.0) * 10, 820) as integer) as bin, count(*) as n from marks where pmv between 0 and 830 group by all")

@@ -9,8 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import bits, text
 from ..operators import compare, index, mapping, reports, styles, tabulate, validate, votes
+from ..operators import images as pictures
 from ..sources import archives, election
 from ..sources.sinks import Store
 
@@ -42,9 +43,17 @@ def op(f: Callable[[Job], None]) -> Callable[[Job], None]:
     return f
 
 
+#: Operations that are others in a row.
+COMBINED = {
+    "genmaprois": ("genrois", "maprois"), "gentrm": ("gentemplates", "genrois", "maprois"), "tltrm": ("build_template_tasklists", "gentemplates", "genrois", "maprois"),
+    "alltemplates": ("genbif_from_cvr", "build_template_tasklists", "gentemplates", "genrois", "maprois"), "cmpcvr_and_report": ("cmpcvr", "gen_cmpcvr_report"),
+}
+
+
 def run(job: Job, *names: str) -> None:
     for n in names:
-        OPS[n](job)
+        for m in COMBINED.get(n, (n,)):
+            OPS[m](job)
 
 
 @op
@@ -69,12 +78,61 @@ def load_cvr(job: Job) -> None:
 @op
 def genbif_from_cvr(job: Job) -> None:
     """bif: ballots of the archives with the style and precinct of their
-    record; ballots without a record go to the log and are left out."""
+    record; ballots without a record go to the log and are left out. Printed
+    summaries are told by the size of their file where the vendor is ES&S, by
+    their record's is_bmd where it has one."""
     files = archives.paired(archives.images(archives.members(job.spark, job["archives"])))
-    own = job.table("cvr").select("ballot_id", "style_num", "precinct").distinct()
-    job.store.save(files.join(own, "ballot_id").withColumns({"is_bmd": F.lit(False), "style_roi_corrupted": F.lit(False)}), "bif")
+    cvr = job.table("cvr")
+    own = cvr.select("ballot_id", "style_num", "precinct").distinct()
+    if "is_bmd" in cvr.columns:
+        own = own.join(cvr.groupBy("ballot_id").agg(F.bool_or("is_bmd").alias("said_")), "ballot_id")
+    indexed(job, files, own, "genbif_from_cvr", "no record")
+
+
+def indexed(job: Job, files: DataFrame, own: DataFrame, stage: str, missing: str) -> None:
+    """bif and the log's rows of files whose ballot is not in own."""
+    small = index.summaries(files, job["bmd_bytes"] or index.SUMMARY_BYTES).withColumnRenamed("is_bmd", "small_")
+    rows = files.join(own, "ballot_id")
+    if job["vendor"] == "ES&S":
+        rows = rows.join(small, "ballot_id")
+    found = [F.col(c) for c in ("said_", "small_") if c in rows.columns]
+    flags = {"is_bmd": F.coalesce(*found, F.lit(False)), "style_roi_corrupted": F.lit(False)}
+    job.store.save(rows.withColumns(flags).drop("said_", "small_", "size"), "bif")
     lost = files.join(own, "ballot_id", "left_anti")
-    job.store.append_log(validate.exceptions(lost, "genbif_from_cvr", "ballot_id", F.lit("no record"), F.array_join("file_paths", ";")))
+    job.store.append_log(validate.exceptions(lost, stage, "ballot_id", F.lit(missing), F.array_join("file_paths", ";")))
+
+
+@op
+def genbif_from_ballots(job: Job) -> None:
+    """bif where there are no records: the style follows from the code read off
+    each ballot (table codes: ballot_id, code as a number), precinct and party
+    from the path. Ballots whose code is unread or odd go to the log."""
+    files = archives.paired(archives.images(archives.members(job.spark, job["archives"])))
+    path = F.element_at("file_paths", 1)
+    place = files.select("ballot_id", text.precinct(path, job["precinct_pattern"] or "", job["precinct_folder_pattern"] or "", job["precinct_folder"] if job["precinct_folder"] is not None else 0).alias("precinct"))
+    own = job.table("codes").select("ballot_id", bits.card_style(F.col("code")).cast("string").alias("style_num")).where("style_num is not null")
+    indexed(job, files, own.join(place, "ballot_id"), "genbif_from_ballots", "no code")
+
+
+@op
+def gentemplates(job: Job) -> None:
+    """templates: the mean front page of each style's template ballots. Pages
+    of a style have one size and lie alike (alignment is done before)."""
+    tasks = job.table("template_tasks").select("archive", "style_num", F.element_at("file_paths", 1).alias("path"))
+    rows = archives.listed(job.spark, job["archives"]).join(tasks, ["archive", "path"])
+    job.store.save(pictures.mean_template(archives.contents(rows)), "templates")
+
+
+@op
+def genrois(job: Job) -> None:
+    """rois: bands of ink in each template's columns, in reading order, with the
+    words (table words: style_num, word_ord, x, y, w, h, text) inside them."""
+    rois = pictures.bands(job.table("templates"), job["columns"] or 1)
+    words = job.store.load("words")
+    if words is None:
+        job.store.save(rois.withColumn("ocr_text", F.lit("")), "rois")
+    else:
+        job.store.save(pictures.with_words(rois, words), "rois")
 
 
 @op
@@ -132,10 +190,10 @@ def extractvote(job: Job) -> None:
     classes and votes. Chunks that are there already are left as they are."""
     tasks = job.store.todo(job.table("extraction_tasks"), "chunk", "marks")
     front = tasks.select("archive", "ballot_id", "style_num", "precinct", "chunk", F.element_at("file_paths", 1).alias("path"))
-    content = archives.members(job.spark, job["archives"], content=True).select("archive", "path", "content")
-    images = content.join(front, ["archive", "path"])
     targets = job.table("roismap").where("ok")
-    values = mapping.pixel_values(images.select("ballot_id", "style_num", "content"), targets, job["dark"] or 170)
+    # Only members that are still to be done are read, in the task that measures them: no image is shuffled.
+    rows = archives.listed(job.spark, job["archives"]).join(front, ["archive", "path"]).join(mapping.target_lists(targets), "style_num")
+    values = mapping.measured(archives.contents(rows), job["dark"] or 170)
     about = targets.select("style_num", "contest", "option", "opt_ord", "vote_for")
     marks = values.join(front.select("ballot_id", "style_num", "precinct", "chunk"), "ballot_id").join(about, ["style_num", "contest", "option"])
     # The order of targets on the ballot decides which marginal marks are promoted.

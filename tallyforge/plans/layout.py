@@ -37,25 +37,13 @@ def midgaps(spark, at):
     return geometry.mid_gaps(_events(spark, at).select("user_id", "pos").distinct(), "user_id", "pos")
 
 
-def _nearest_mark(spark, at, asked):
-    e = _events(spark, at)
-    m = e.where("event_type = 'view' or event_id % 5 = 0").select("user_id", F.col("pos").alias("mark")).distinct()
-    r = e.where(asked).select("event_id", "user_id", "pos")
-    # A row whose user has no mark has none; the inner join of the equivalent drops it.
-    return geometry.nearest(r, "user_id", "pos", m, "mark", ["event_id"]).where("nearest is not null").select("event_id", "user_id", "pos", "nearest")
-
-
-@query(f"""with {EVENTS}, m as (select distinct user_id, pos as mark from ev where event_type = 'view' or event_id % 5 = 0), r as (select event_id, user_id, pos from ev where event_id % 3 = 1), j as (select event_id, r.user_id, pos, mark, row_number() over (partition by event_id order by abs(pos - mark), mark) as i from r join m using (user_id))
- select event_id, user_id, pos, cast(mark as double) as nearest from j where i = 1""")
-def nearest_mark(spark, at):
-    """The SQL's third of the events; nearest_mark_all has all."""
-    return _nearest_mark(spark, at, "event_id % 3 = 1")
-
-
 @query(f"""with {EVENTS}, m as (select distinct user_id, pos as mark from ev where event_type = 'view' or event_id % 5 = 0), j as (select event_id, ev.user_id, pos, mark, row_number() over (partition by event_id order by abs(pos - mark), mark) as i from ev join m using (user_id))
  select event_id, user_id, pos, cast(mark as double) as nearest from j where i = 1""")
 def nearest_mark_all(spark, at):
-    return _nearest_mark(spark, at, "true")
+    e = _events(spark, at)
+    m = e.where("event_type = 'view' or event_id % 5 = 0").select("user_id", F.col("pos").alias("mark")).distinct()
+    # A row whose user has no mark has none; the inner join of the equivalent drops it.
+    return geometry.nearest(e.select("event_id", "user_id", "pos"), "user_id", "pos", m, "mark", ["event_id"]).where("nearest is not null").select("event_id", "user_id", "pos", "nearest")
 
 
 @query("""with bands as (select p_size as band, cast(floor(min(p_retailprice)) as integer) as y, cast(floor(max(p_retailprice) - min(p_retailprice)) as integer) as h from part group by p_size), t as (select s_suppkey, abs(s_acctbal) as y0 from supplier)

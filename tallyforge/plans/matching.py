@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import tables
+from .names import ratio_sql
 from .registry import query
 
 PAIRS = """a as (select distinct p_brand as grp, p_type || ' ' || p_size as ocr from part where p_partkey % 2 = 0), b as (select distinct p_brand as grp, p_type || ' ' || p_size as official from part where p_partkey % 2 = 1),
@@ -35,7 +36,7 @@ def fuzzy_mutual_assignment(spark, at):
     return _pairs(spark, at).withColumns({"i": i, "j": j}).where("i = 1 and j = 1").select("grp", "ocr", "official", "metric")
 
 
-@query()
+@query(f"with w as (select p_partkey, string_split(p_name, '') as a, string_split(p_type || ' ' || p_name, '') as b from part) select p_partkey, round({ratio_sql('a', 'b')}, 6) as ratio from w")
 def indel_ratio(spark, at):
     """Ratio by insertions and deletions of successive part names."""
     p = tables.table(spark, at, "part").select("p_partkey", F.col("p_name").alias("a"), F.concat(F.col("p_type"), F.lit(" "), F.col("p_name")).alias("b"))

@@ -49,7 +49,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import ballots, codes, layout, listing, matching, rules  # noqa: F401
+    from . import ballots, codes, layout, listing, matching, names, places, records, rules  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

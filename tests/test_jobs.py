@@ -124,3 +124,71 @@ def test_sheets_and_sinks(spark, tmp_path):
     assert [r["size"] for r in sinks.member_copies(members, spark.createDataFrame([("2",)], "ballot_id string"), F.lit(f"{tmp_path}/copies")).collect()] == [1] and (tmp_path / "copies/2F.pbm").read_bytes() == b"y"
     html = reports.page(spark.createDataFrame([("<b>", 1), (None, 2)], "a string, b int"), "T & U", 1)
     assert "&lt;b&gt;" in html and "T &amp; U" in html and "More than 1 rows" in html
+
+
+def test_templates_to_regions(spark, job):
+    """Mean templates, regions from their ink, words in them, combined operations."""
+    from tallyforge.plans import jobs
+
+    jobs.run(job, "load_contests", "load_cvr", "cvr2styles")
+    words = [("7", 0, 12, 11, 8, 2, "Ann"), ("7", 1, 62, 11, 8, 2, "Bob"), ("7", 2, 12, 61, 8, 2, "Yes"), ("7", 3, 62, 61, 8, 2, "No"), ("7", 4, 5, 95, 3, 3, "lost")]
+    job.store.save(spark.createDataFrame(words, "style_num string, word_ord int, x int, y int, w int, h int, text string"), "words")
+    job.settings["columns"] = 3
+    jobs.run(job, "alltemplates")
+    t = job.table("templates").first()
+    assert (t["style_num"], t["h"], t["w"]) == ("7", 100, 160)
+    rois = {r["ocr_text"]: r for r in job.table("rois").where("ocr_text <> ''").collect()}
+    assert set(rois) == {"Ann", "Bob", "Yes", "No"} and rois["Ann"]["x"] == 0 and rois["Ann"]["y"] == 10 and rois["No"]["y"] == 60
+    assert job.table("mapping_status").count() == 1
+    job.store.drop("words")
+    jobs.run(job, "genmaprois")
+    assert job.table("rois").where("ocr_text <> ''").count() == 0
+
+
+def test_index_flags(spark, job):
+    """Printed summaries by file size or record; an index from codes alone."""
+    from tallyforge.plans import jobs
+
+    jobs.run(job, "load_cvr")
+    job.settings |= {"vendor": "ES&S", "bmd_bytes": 10_000}
+    jobs.run(job, "genbif_from_cvr")
+    assert job.table("bif").where("is_bmd").count() == 0
+    job.settings["bmd_bytes"] = 25_000
+    jobs.run(job, "genbif_from_cvr")
+    assert job.table("bif").where("not is_bmd").count() == 0
+    from pyspark.sql import functions as F
+
+    cvr = job.table("cvr").withColumn("is_bmd", F.col("ballot_id") == "102")
+    rows_ = [tuple(r) for r in cvr.collect()]
+    job.store.save(spark.createDataFrame(rows_, cvr.schema), "cvr")
+    del job.settings["vendor"]
+    jobs.run(job, "genbif_from_cvr")
+    assert rows(job, "bif", "ballot_id", "is_bmd") >= {("102", True), ("101", False)}
+    good = (0x21 << 48) | (0x20 << 20)
+    job.store.save(spark.createDataFrame([("101", good), ("102", good ^ 1)], "ballot_id string, code long"), "codes")
+    jobs.run(job, "genbif_from_ballots")
+    found = rows(job, "bif", "ballot_id", "style_num", "precinct")
+    assert len(found) == 1 and next(iter(found))[2] == "P1"
+
+
+def test_archives_are_read_in_part(spark, tmp_path, monkeypatch):
+    """Directories first, then only the members asked for, in runs."""
+    from tallyforge.sources import archives
+
+    for name in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("dir/", "")
+            for i in range(10):
+                z.writestr(f"dir/{i}.png", f"{name}{i}" * 50)
+    monkeypatch.setattr(archives, "RUN", 3)
+    found = archives.listed(spark, f"file://{tmp_path}/*.zip", r"dir/[^9]\.png")
+    assert found.count() == 18 and {r["size"] for r in found.collect()} == {100}
+    some = archives.contents(found.where("path like '%3.png' or path like '%7.png'"))
+    assert {(r["archive"], r["path"]): bytes(r["content"]).decode() for r in some.collect()} == {(f"{n}.zip", f"dir/{i}.png"): f"{n}{i}" * 50 for n in "ab" for i in (3, 7)}
+
+
+def test_pages_of_a_report(spark):
+    from tallyforge.operators import reports
+
+    got = list(reports.pages(spark.range(25), "T", 10))
+    assert len(got) == 3 and sum(p.count("<td>") for p in got) == 25 and "T (3)" in got[2] and len(list(reports.pages(spark.range(0), "T", 10))) == 1
