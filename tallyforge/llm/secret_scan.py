@@ -370,5 +370,7 @@ def _scanned(made: tuple):
 def secrets(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, counts of the base kinds, base_sha256 and spans
     (kind:start:end by start, then kind as listed; base kinds first).
-    Null and empty texts have no spans."""
+    Null and empty texts have no spans; texts may be of any length. Of matches
+    of one kind the leftmost wins, of those with one start the longest. Repeated
+    rows get equal results, an empty table has none, extra columns are ignored."""
     return documents(docs).mapInArrow(_scanned(default_tables()), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

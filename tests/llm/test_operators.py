@@ -947,3 +947,66 @@ def test_pipeline_awkward(spark, awkward, tmp_path):
     for _, stage in cp.STAGES:
         assert stage(spark, awkward.select(*cp.COLUMNS), at).count() >= 0
 
+    empty_docs = awkward.select(*cp.COLUMNS).limit(0)
+    assert all(stage(spark, empty_docs, at).count() == 0 for _, stage in cp.STAGES)
+    kept = {name: stage(spark, awkward.select(*cp.COLUMNS), at).collect() for name, stage in cp.STAGES}
+    assert {r["doc_id"] for r in kept["quality_rules"]} == {None, 6}  # the others have fewer than ten words
+    assert sorted(str(r["doc_id"]) for r in kept["simhash_near_duplicates"]) == ["1", "4", "5", "6", "7", "None"]
+    assert len(kept["pii"]) == 9 and len(kept["mixing"]) == 9  # one domain, whose target is nearly all
+    assert {r["doc_id"] for r in kept["packing"]} == {None, 1, 2, 3, 4, 5, 6, 7}
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each stage's rows from its input by plain Python."""
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    from tallyforge.llm import mixing, packing, pii, quality_rules, simhash
+    from tallyforge.llm.common import table, written
+
+    docs = table(spark, SF, "documents")
+    out = {}
+    for name, stage in cp.STAGES:
+        out[name] = written(stage(spark, docs, SF), "brute"), docs
+        docs = out[name][0]
+    rows = {name: ([r.asDict() for r in a.collect()], [r.asDict() for r in b.collect()]) for name, (a, b) in out.items()}
+    # Quality: the base rules; labels are too few here for cutoffs.
+    after, before = rows["quality_rules"]
+    fine = {r["doc_id"] for r in before if (n := quality_counts(r["text"]))[0] >= 10 and 100 * n[4] <= 20 * n[0]}
+    assert {r["doc_id"] for r in after} == fine and quality_rules.cutoffs(spark.createDataFrame([("en", 0.0, 0.0, 0.0, 0.0)] * 99, "lang_ string, symbol_rate double, upper_rate double, dup_line_rate double, mark_rate double")) == {}
+    # Near-duplicates: all pairs of fingerprints.
+    after, before = rows["simhash_near_duplicates"]
+    fps = {r["doc_id"]: simhash.fingerprint(r["text"]) & (1 << 64) - 1 for r in before}
+    root = {i: i for i in fps}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(fps)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert {r["doc_id"] for r in after} == {find(i) for i in ids}
+    # Personal data: what is between base spans stays.
+    after, before = rows["pii"]
+    texts = {r["doc_id"]: r["text"] for r in after}
+    for r in before:
+        spans = pii.all_spans(r["text"], pii.default_weights())[1]
+        assert set(pii.base_spans(r["text"])) <= set(spans) and texts[r["doc_id"]] == pii.masked_text(r["text"], spans) and (spans or texts[r["doc_id"]] == r["text"])
+    # Mixing: floor(rate + u) copies of whole rows.
+    after, before = rows["mixing"]
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mixed(out["pii"][0], table(spark, SF, "labels")).collect()}
+    assert collections.Counter(r["doc_id"] for r in after) == collections.Counter({i: n for i, n in copies.items() if n})
+    assert {(r["doc_id"], r["text"]) for r in after} <= {(r["doc_id"], r["text"]) for r in before}
+    # Packing: pieces joined are the library's ids.
+    after, before = rows["packing"]
+    fresh = Tokenizer.from_file(packing.default_tokenizer())
+    want = collections.Counter((r["doc_id"], len(fresh.encode(r["text"], add_special_tokens=False).ids) + 1) for r in before)
+    whole = collections.Counter()
+    for r in after:
+        whole[r["doc_id"], r["doc_tokens"]] += r["length"]
+    assert whole == collections.Counter({k: k[1] * n for k, n in want.items()})
