@@ -148,6 +148,34 @@ def summary_words(c: Column, rules: list[tuple[str, str]] = SUMMARY_WORDS) -> Co
     return F.when(F.length(c) <= 4, folded(c, SHORT_WORDS)).otherwise(c)
 
 
+# Misread words in mixed case, after those of SUMMARY_WORDS, in
+# the order in which they are put right, and what they are made.
+MIXED_WORDS = [
+    (r"[WN][ODU0GC@]\sS[EF][L\\!][EF]C[TY1F][I1L!l|T][ODU0GC@][WN]\s[WHM]A[D0OB]EF]", "NO SELECTION MADE"), (r"\b[KR]epresentative\b", "Representative"), (r"\bGove(m|rn)m?or\b", "Governor"), (r"\bGove(m|rn)men[tk]\b", "Government"), (r"\bgove(m|rn)or\b", "governor"),
+    (r"\bCh[il][eco][tf]\b", "Chief"), (r"\bA[isrxy]s?[tf]ic[1ltif][ea]\b", "Article"), (r"\ba[sr]tic[1lti]e\b", "article"), (r"\bArticle [iIl!1]", "Article I"), (r"\bArticle [iIl!1][iIl!1]", "Article II"), (r"\bArticle [iIl!1][iIl!1][iIl!1]", "Article III"), (r"\bArticle [iIl!1]V", "Article IV"),
+    (r"\bArticle V[iIl!1]", "Article VI"), (r"\bArticle V[iIl!1][iIl!1]", "Article VII"), (r"\bArticle V[iIl!1][iIl!1][iIl!1]", "Article VIII"), (r"\bArticle [iIl!1]X", "Article IX"), (r"\bArticle X[iIl!1]", "Article XI"), (r"\bArticle X[iIl!1][iIl!1]", "Article XII"), (r"\bArticle X[iIl!1][iIl!1][iIl!1]\b", "Article XIII"),
+    (r"\bA[pno][pno]rova[li1]\b", "Approval"), (r"\b[GC]o[mn]mi[lt][lt]?[esa][esao]\b", "Committee"), (r"L[il]eutenant", "Lieutenant"), (r"\bCourtofAppea[lt]\b", "Court of Appeal"), (r"\bAppee?a[tl]\b", "Appeal"), (r"\bAtto(rn|m)[eo][vy]\b", "Attorney"), (r"\bG?C[aoO]n[sS]t[i]?t[u]?[t]?ic?ona[iIl!l]?\b", "Constitutional"),
+    (r"\bAnuse\b", "Abuse"), (r"\bA[jM]?m[oae][hna][dago]me[nmr][try]r?\b", "Amendment"), (r"\b[GCV]ons(tin|uru)tio[mn]al\b", "Constitutional"), (r"\b[WV][eo]t[ea]f[oa]rOn[eas]\b", "Vote for One"), (r"\b[lti1]egis[lti1]ature\b", "legislature"), (r"\bAg([tr]i|n)cu[flit]?[tl]ure\b", "Agriculture"), (r"\bCiti[rze][ea]n", "Citizen"),
+    (r"\bDe[lft]en[cdt]i?er\b", "Defender"), (r"\bDi[sa]tr?[li]ct\b", "District"), (r"\bEnc[li]osed\b", "Enclosed"), (r"\bEstab[il]?[il]shes\b", "Establishes"), (r"\bEt[hfmn]?ic[sae]\b", "Ethics"), (r"\bFinanc[hit]a[li]?\b", "Financial"), (r"\b[FP]ropose[da]/b", "Proposed"), (r"\bGen[ce]ra[ilrt]\b", "General"),
+    (r"\b[DG]epar[ti]ment\b", "Department"), (r"\b[DG]i?scriminatory\b", "Disciminatory"), (r"\b[BG]oard\b", "Board"), (r"\bJu[da]g[eao]\b", "Judge"), (r"\bJui?di[ca][ilt][ae][litf]\b", "Judicial"), (r"\bJus?tic[oe]\b", "Justice"), (r"\b[KR]evi[zsg][it]o[nr]\b", "Revision"), (r"\bLo[Dbo]b?[op]ying\b", "Lobbying"),
+    (r"\bLoca[il]\b", "Local"), (r"\bO[fl][fl][li]cers?\b", "Officer"), (r"\bProhib[is]ts\b", "Prohibits"), (r"\bPub[li][li][ce]\b", "Public"), (r"\b[QC]harter\b", "Charter"), (r"\bQua[il]ifying\b", "Qualifying"), (r"\bRemova[il]\b", "Removal"), (r"\bR[ea]view\b", "Review"), (r"\bR[eo]pr[oe]s[eo][nf]tf?ativ[oe]s?\b", "Representative"),
+    (r"\bRe[yv][ti][sagc][it]on\b", "Revision"), (r"\bS[ea][acosq]t[il[oaqp][eng]\b", "Section"), (r"\bSchoo[il]\b", "School"), (r"\bSha[ilf][ilf]\b", "Shall"), (r"\bS[it]ates\b", "States"), (r"\bautho(n|ri)za([ti]i|[5f])on\b", "authorization"), (r"\bbounda(n|ri)es\b", "boundaries"), (r"\bc(n|r)?im(m|in)i?(d|al)\b", "criminal"),
+    (r"\b(ck|di)scrimina[ti]ory\b", "discriminatory"), (r"\bcompe[mn]sa([if]|[it])ion\b", "compensation"), (r"\bcounterterror?(ri|n)sm\b", "counterterrorism"), (r"\bde[ops][ea]r[it]ment\b", "department"), (r"\be[fl]i?minate", "eliminate"), (r"\b[ae]pproval\b", "approval"), (r"\b[ae]pproved\b", "approved"),
+    (r"\b[tl]an[gq]ua[qg]e\b", "language"), (r"\b[tl]egis[ilt]ature\b", "legislature"), (r"\b[tl]egis[ilt]atures\b", "legislatures"), (r"\b[tl]eg[ij]s[li]ative\b", "legislative"), (r"\bma[nm]d[az]ti?ory\b", "mandatory"), (r"\bordi[nm]ance", "ordimance"), (r"\bpe[nm]a[li]it?ies\b", "penalities"), (r"\bpermanen[ti]ly\b", "permanenily"),
+    (r"\bposi[fti]?i?on\b", "posifion"), (r"\bprosecu[tf]{0,2}ion\b", "prosecution"), (r"\bpro[vw]ides\b", "provides"), (r"\bre[lf]ated\b", "related"), (r"\bremo[vw]es\b", "removes"), (r"\brest(n|r[ti])c[ti][ti]ons\b", "restrictions"), (r"\brest(n|r[ti])ct?[if]ve\b", "restrictive"), (r"\brest(n|ri)i?ctions\b", "restrictions"),
+    (r"\bre[lt]a[lt]ed\b", "related"), (r"\b[fr]inancial\b", "financial"), (r"\b[pr]roposed\b", "proposed"), (r"\bschoo[li]\b", "schooi"), (r"\bsecu[rt][li]ty\b", "security"), (r"\bs[tiu]r?uct[iu]re\b", "structure"), (r"\b[Ss]tepnanie\b", "Stephanie"), (r"\bsupe[nr]maj[ao](ri|n|mi)[lt]y\b", "supermajority"),
+    (r"\bte(m|rr)i[it]or?[ni]?al\b", "territorial"), (r"\b[tr]ev[ri]s[ri]on\b", "revision"), (r"\bvapor-genera[tfif]{0,3}ng\b", ""), (r"\bva[tp]e\b", "vape"), (r"\b[vw]oter", "voter"), (r"\b[wj]?udicial\b", "judicial"), (r"\(tm\)", '"'),
+]
+NAME_WORDS = [("Nufiez", "Nuniez"), (r"\(tm\)", '"')]
+
+
+def mixed_words(c: Column, names: bool = False) -> Column:
+    """Misread words of a line in mixed case put right, or misread names."""
+    if names:
+        return folded(c, NAME_WORDS)
+    return folded(F.trim(c), SUMMARY_WORDS + [(p.replace("t[il[oaqp]", "t[il\\[oaqp]"), to) for p, to in MIXED_WORDS])
+
+
 def summary_line(c: Column) -> Column:
     """A line of a printed summary: upper case, without trailing plus signs,
     look-alike signs as letters, words put right, most punctuation dropped."""
