@@ -1,8 +1,8 @@
 """Secret scan by one combined deterministic automaton.
 
 Every rule's regular expression is reversed and compiled: Thompson NFA,
-subset construction over byte classes, Hopcroft minimisation into transition
-rows. One automaton for all rules reads a text's bytes once, from the last to
+subset construction over byte classes, minimisation by partition refinement into
+transition rows. One automaton for all rules reads a text's bytes once, from the last to
 the first; it accepts where some rule's match can start. At those places a
 small automaton per rule, compiled the same way, finds the longest match.
 That gives the leftmost, longest, non-overlapping matches of each rule.
@@ -43,7 +43,7 @@ MORE = {
 LEAST_ASSIGNED = 6
 #: Kinds without a literal start: their least length is counted in the pass.
 COUNTED = {"hex"}
-BLOCK = 4096
+BLOCK, CHECKED = 4096, 256
 
 
 class Nfa:
@@ -296,10 +296,13 @@ class Scanner:
                     out.append((end - i, row.accepts))
         return out[::-1]
 
-    def longest(self, rule: int, data: bytes, at: int) -> tuple[int, int]:
-        """Ends of the shortest and the longest match that starts here."""
+    def longest(self, rule: int, data: bytes, at: int, failed: set[tuple[int, int]]) -> tuple[int, int]:
+        """Ends of the shortest and the longest match that starts here.
+        failed: places (every CHECKED bytes) and states from which no match was
+        found before, so that many starts before a long run are read in it once."""
         rows, marks, classes, dead = self.single[rule]
         state, first, last = 0, -1, -1
+        seen: list[tuple[int, int]] = []
         for i in range(at, len(data)):
             state = rows[state][classes[data[i]]]
             if state == dead:
@@ -308,16 +311,23 @@ class Scanner:
                 last = i + 1
                 if first < 0:
                     first = last
+            elif first < 0 and not i % CHECKED:
+                if (i, state) in failed:
+                    break
+                seen.append((i, state))
+        if first < 0:
+            failed.update(seen)
         return first, last
 
     def spans(self, data: bytes) -> list[tuple[str, int, int]]:
         """(kind, start, end) in bytes by start, then kind; leftmost, longest
         and non-overlapping per kind."""
         out, done = [], [0] * len(self.kinds)
+        failed: list[set] = [set() for _ in self.kinds]
         for at, bits in self.starts(data):
             for k, kind in enumerate(self.kinds):
                 if bits >> k & 1 and at >= done[k]:
-                    first, last = self.longest(k, data, at)
+                    first, last = self.longest(k, data, at, failed[k])
                     if last < 0:
                         continue
                     done[k] = last

@@ -64,6 +64,25 @@ def test_secret_automaton_equals_expressions():
     assert [g[0] for g in s.scan("see https://bob:hunter2@host and ghp_" + "a1B2" * 9, scanner)] == ["login", "github"]
 
 
+def test_secret_scan_of_long_runs():
+    """Very many starts that lead nowhere are not followed one by one; what matches after them is still found."""
+    import time
+
+    from tallyforge.llm import secret_scan as s
+
+    scanner, began = s.Scanner(s.default_tables()), time.perf_counter()
+    assert s.scan("eyJ" * 40_000, scanner) == [] and s.scan("://a" * 30_000, scanner) == []
+    assert time.perf_counter() - began < 60
+    token = "eyJabcdefghij.eyJabcdefghij.abcdefghij"
+    x = "eyJ" * 2000 + f" {token} " + "eyJ" * 500
+    assert [(k, x[a:b]) for k, a, b in s.scan(x, scanner)] == [("jwt", token)]
+    rng = random.Random(8)
+    for _ in range(300):
+        x = "".join(rng.choice(["eyJ", "eyJabcdefgh", ".", "abcdefgh", "://", "u:", "p@", " ", "x" * 300]) for _ in range(rng.randint(1, 40)))
+        for kind in ("jwt", "login"):
+            assert [x[a:b] for k, a, b in s.scan(x, scanner) if k == kind] == [m[0] for m in re.finditer(s.MORE[kind], x)]
+
+
 def test_secret_automaton_is_minimal():
     from tallyforge.llm import secret_scan as s
 
