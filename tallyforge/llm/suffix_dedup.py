@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, sized, written
+from .common import discard, written
 
 LENGTH, GRAM = 100, 32
 WIDE = LENGTH - GRAM + 1
@@ -41,8 +41,6 @@ STEP = 2
 #: bytes; bytes of a shard and of a group of shards; windows of a text read at
 #: once, windows hashed at once.
 HOT, HEAVY, SHARD, GROUP, BLOCK, HASHED = 16_384, 1 << 22, 1 << 19, 1 << 21, 1 << 20, 1 << 16
-#: Bytes of a run in a broadcast list, as built in memory.
-LISTED = 80
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 LAST = (1 << 63) - 1
 SALT = 0x27D4EB2F165667C5
@@ -328,10 +326,9 @@ def ranges(docs: DataFrame) -> DataFrame:
     hot = ((F.count("*") > HOT) | (F.sum(F.col("f.n") + LENGTH - 1) > HEAVY)).alias("hot")
     several = firsts.groupBy("a").agg(F.count("*").alias("k"), F.max("own").alias("self"), hot).where("k > 1 or self")
     left = firsts.join(several, "a").select("f.doc", "f.tie", F.struct("a", "f.start", "f.n", "hot").alias("r"))
-    lists_ = written(left.groupBy("doc", "tie").agg(F.collect_list("r").alias("own"), F.count("*").alias("c")), "suffix-left")
-    size = lists_.agg(F.count("*").alias("rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("runs")).first()
-    lists = sized(lists_.drop("c"), size["rows"] + size["runs"], LISTED)
-    bits = written(docs.join(lists, ["doc", "tie"]).mapInArrow(_sliced, "a long, hot boolean, doc long, tie long, start int, s binary"), "suffix-bits")
+    lists_ = written(left.groupBy("doc", "tie").agg(F.collect_list("r").alias("own")), "suffix-left")
+    # These lists grow with the input, so texts are shuffled to them at every size.
+    bits = written(docs.join(lists_.hint("merge"), ["doc", "tie"]).mapInArrow(_sliced, "a long, hot boolean, doc long, tie long, start int, s binary"), "suffix-bits")
     discard(lists_)
     cold = bits.where("not hot").repartition("a").sortWithinPartitions("a")
     found = whole.unionAll(cold.mapInArrow(_merge, "doc long, tie long, start int, end int"))
@@ -360,12 +357,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Order is by doc_id; a null doc_id comes last. Rows that repeat both doc_id
     and text are one document and get the same result; of rows that repeat a
     doc_id with other texts the order is by the text's hash. Null and empty
-    texts, and those below LENGTH bytes, stay as they are.
+    texts, and those below LENGTH bytes, stay as they are; texts may be of any
+    length. An empty table has no rows; extra columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     keyed = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("tie"), "text")
     gone = ranges(keyed.drop("doc_id"))
-    size = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("gone")), F.lit(0)).alias("b")).first()
-    out = keyed.join(sized(gone, 1, size["n"] * 48 + size["b"]), ["doc", "tie"], "left").select("doc_id", "text", "gone")
+    out = keyed.join(gone.hint("merge"), ["doc", "tie"], "left").select("doc_id", "text", "gone")
     return out.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
