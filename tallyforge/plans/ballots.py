@@ -55,9 +55,9 @@ def precinct_contest_over_under(spark, at):
 )
 def tabulate_options_pct(spark, at):
     part = tables.table(spark, at, "part")
-    # Few contests, few options: every contest offers every option.
-    names = part.groupBy("p_brand").count().select(F.col("p_brand").alias("option"))
-    offered = part.groupBy(F.col("p_type").alias("contest")).count().select("contest", F.lit(1).alias("k")).join(names.withColumn("k", F.lit(1)), "k").drop("k")
+    # Few contests, few options: every contest offers every option, of which there is one list.
+    names = part.agg(F.sort_array(F.collect_set("p_brand"))).scalar()
+    offered = part.groupBy(F.col("p_type").alias("contest")).count().select("contest", F.explode(names).alias("option"))
     return tabulate.option_totals(_votes(spark, at), offered)
 
 

@@ -24,13 +24,17 @@ def latest(rows: DataFrame) -> DataFrame:
 def upserted(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Keeps folder `table` at the latest state per target; each batch writes
     a new version beside the old one, named by the batch, so that a batch that
-    runs again after a failure gives the same state."""
+    runs again after a failure gives the same state. Versions before the last
+    two are deleted."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         now, before = f"{table}/v={number}", f"{table}/v={number - 1}"
         old = spark.read.schema(batch.schema).parquet(before) if number else None
         latest(batch if old is None else batch.unionByName(old)).write.mode("overwrite").parquet(now)
+        if number > 1:
+            past = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={number - 2}")
+            past.getFileSystem(spark._jsc.hadoopConfiguration()).delete(past, True)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
