@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 MARK = "array<struct<x: int, y: int, w: int, h: int>>"
 #: Largest extents of a page in pixels.
 HEIGHT, WIDTH = 2800, 1785
@@ -28,8 +30,12 @@ def mid_gaps(marks: Column) -> Column:
 def nearest(places: Column, at: Column) -> Column:
     """The place nearest to a coordinate, the first of equally near ones;
     the coordinate itself if there is none."""
-    best = F.array_min(F.transform(places, lambda p, i: F.struct(F.abs(p - at).alias("d"), i.alias("i"), p.alias("p"))))
-    return F.coalesce(best["p"], at)
+
+    def of(at: Column) -> Column:
+        best = F.array_min(F.transform(places, lambda p, i: F.struct(F.abs(p - at).alias("d"), i.alias("i"), p.alias("p"))))
+        return F.coalesce(best["p"], at)
+
+    return bind(at, of)
 
 
 def containing(marks: Column, at: Column, axis: str = "y", first: int = 0) -> Column:
@@ -74,21 +80,26 @@ def region(spec: Column, gaps: Column) -> Column:
     with single quotes): heights that are numbers of gaps, or pixels that snap to
     the nearest gap. Null if it doesn't parse or leaves the page."""
     s = F.from_json(spec, REGION, {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"})
+    return bind(F.struct(s.alias("s"), gaps.alias("g")), lambda b: _region(b["s"], b["g"]))
+
+
+def _region(s: Column, gaps: Column) -> Column:
     n = F.size(gaps)
     by_index = (s["y"] >= 0) & (s["y"] < n)
     x = F.coalesce(s["x"], F.lit(0))
     w = F.coalesce(s["w"], F.lit(WIDTH) - x)
     at = F.get(gaps, s["y"])
     rows = F.least(F.coalesce(s["h"], n - s["y"] - 1), n - s["y"] - 1)
-    y = F.when(by_index, at).otherwise(nearest(gaps, s["y"]))
-    bottom = F.when(by_index, F.get(gaps, s["y"] + rows)).otherwise(nearest(gaps, y + F.least(F.coalesce(s["h"], F.lit(HEIGHT) - y), F.lit(HEIGHT) - y)))
+    top = F.when(by_index, at).otherwise(nearest(gaps, s["y"]))
+    below = lambda y: F.when(by_index, F.get(gaps, s["y"] + rows)).otherwise(nearest(gaps, y + F.least(F.coalesce(s["h"], F.lit(HEIGHT) - y), F.lit(HEIGHT) - y)))
     period = F.get(gaps, F.lit(1)) - F.get(gaps, F.lit(0))
     least = F.coalesce(s["h_min"], F.lit(0))
-    got = F.struct(
+    got = lambda y, bottom: F.struct(
         x.alias("x"), y.alias("y"), w.alias("w"), (bottom - y).alias("h"), F.when(by_index, least * period - period / 2).otherwise(least).alias("h_min"), F.coalesce(s["p"], F.lit(0)).alias("p"),
         F.coalesce(s["s"], F.lit(0)).alias("s"), F.coalesce(s["r"], F.lit(1)).alias("r"), F.coalesce(s["h_or_v"], F.lit("h")).alias("h_or_v"), s["styles"].alias("styles"), s["exstyles"].alias("exstyles"),
     )
-    return F.when(s["y"].isNotNull() & (n > 0) & (x + w <= WIDTH) & (bottom <= HEIGHT), got)
+    fits = s["y"].isNotNull() & (n > 0) & (x + w <= WIDTH)
+    return F.when(fits, bind(top, lambda y: bind(below(y), lambda bottom: F.when(bottom <= HEIGHT, got(y, bottom)))))
 
 
 def consistent(left: Column, right: Column, back_left: Column, back_right: Column) -> Column:

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value computed once: a one-element transform works as
+    a let, since a lambda variable isn't recomputed at each use, least of all
+    for each element inside another lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def folded(c: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, to in rules:
         c = F.regexp_replace(c, pattern, to)

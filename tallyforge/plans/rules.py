@@ -88,7 +88,8 @@ def page_regions(spark, at):
     y = F.when(px, F.col("p_size") * 50 + 71).otherwise(F.col("p_size"))
     h = F.when(px, p % 30 * 40).otherwise(p % 30)
     r = coords.region(F.format_string("{'y': %d, 'h': %d, 'x': 7}", y, h), F.lit(GAPS))
-    return _part(spark, at).select("p_partkey", r["y"].alias("y"), r["h"].alias("h"))
+    rows = tables.dealt(_part(spark, at).select("p_partkey", "p_size"), "p_partkey")
+    return rows.select("p_partkey", r.alias("r")).select("p_partkey", "r.y", "r.h")
 
 
 @query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")

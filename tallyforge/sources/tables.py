@@ -10,6 +10,14 @@ def table(spark: SparkSession, at: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{at}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str, rows: int = 20_000) -> DataFrame:
+    """df dealt over tasks of about so many rows by a key, for work that is
+    long per row: a small file is one task's input however many rows it has.
+    Counting Parquet reads its footers only."""
+    n = -(-df.count() // rows)
+    return df if n < 2 else df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def marks(spark: SparkSession, at: str) -> DataFrame:
     """Order lines as measured voting targets. Only the needed columns are
     read; part and customer are the small sides, left to AQE to broadcast. The
