@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import bind
+
 
 def byte(data: Column, at: Column | int) -> Column:
     """The byte at an offset from 0, as int; null beyond the end."""
@@ -27,8 +29,13 @@ def part(data: Column, start: Column | int, stop: Column | int) -> Column:
 
 def bits(data: Column) -> Column:
     """Bytes as a string of 0 and 1, the highest bit first."""
-    n = F.octet_length(data)
-    return F.when(n == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.bin(byte(data, i)), 8, "0")), ""))
+
+    def of(data: Column) -> Column:
+        n = F.octet_length(data)
+        four = lambda i: F.lpad(F.conv(F.hex(F.substring(data, 4 * i + 1, F.lit(4))), 16, 2), 8 * F.least(n - 4 * i, F.lit(4)), F.lit("0"))
+        return F.when(n == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), four), ""))
+
+    return bind(data, of)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -51,7 +58,10 @@ def names_in(tail: pd.Series) -> pd.Series:
 def opened(payload: Column) -> Column:
     """struct(sheet, card0, card1, bits array of both blocks, tails array) of a
     payload in hex. A ballot of one sheet has no first block."""
-    d = F.unhex(payload)
+    return bind(F.unhex(payload), _opened)
+
+
+def _opened(d: Column) -> Column:
     one = byte(d, 16) == 1
     a = F.when(one, 0).otherwise(byte(d, 21))
     first, second = part(d, 25, F.lit(25) + a), part(d, a + 25, a + 22 + F.when(one, byte(d, 21)).otherwise(byte(d, a + 25)))
@@ -89,10 +99,9 @@ def ranked(payload: Column, options: int, ranks: int) -> Column:
     """struct(precinct, style, marks): of a ranked contest's payload in hex,
     for each rank the numbers (from 0) of the options marked."""
     d = F.unhex(F.replace(payload, F.lit(" "), F.lit("")))
-    field = bits(part(d, 19, F.lit(15) + little(d, 15, 2)))
-    row = lambda r: F.substring(field, r * options + 1, F.lit(options))
-    marks = F.transform(F.sequence(F.lit(0), F.lit(ranks - 1)), lambda r: F.filter(F.sequence(F.lit(0), F.lit(options - 1)), lambda o: F.substring(row(r), o + 1, F.lit(1)) == "1"))
-    return F.struct(little(d, 6, 4).alias("precinct"), little(d, 11, 4).alias("style"), marks.alias("marks"))
+    field = lambda d: bits(part(d, 19, F.lit(15) + little(d, 15, 2)))
+    marks = lambda f: F.transform(F.sequence(F.lit(0), F.lit(ranks - 1)), lambda r: F.filter(F.sequence(F.lit(0), F.lit(options - 1)), lambda o: F.substring(f, r * options + o + 1, F.lit(1)) == "1"))
+    return bind(d, lambda d: F.struct(little(d, 6, 4).alias("precinct"), little(d, 11, 4).alias("style"), bind(field(d), marks).alias("marks")))
 
 
 def bar_code(code: Column) -> tuple[Column, Column]:
