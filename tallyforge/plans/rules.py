@@ -33,7 +33,8 @@ _MIXED = text.SUMMARY_WORDS + [(p.replace("t[il[oaqp]", "t[il\\[oaqp]"), to) for
 @query("select p_partkey, " + "regexp_replace(" * len(_MIXED) + "trim(p_name || ' [x Govemor of the Boord, Artic1e !V Amendmant Schoo1 Genera1 Loca1 Distnct ' || p_type || ' wote for Judga Jushce ')" + "".join(f", '{p}', '{to}', 'g')" for p, to in _MIXED) + " as line, replace(replace(p_name || 'Nufiez (tm)', 'Nufiez', 'Nuniez'), '(tm)', '\"') as name from part")
 def mixed_case_words(spark, at):
     raw = F.concat("p_name", F.lit(" [x Govemor of the Boord, Artic1e !V Amendmant Schoo1 Genera1 Loca1 Distnct "), "p_type", F.lit(" wote for Judga Jushce "))
-    return _part(spark, at).select("p_partkey", text.mixed_words(raw).alias("line"), text.mixed_words(F.concat("p_name", F.lit("Nufiez (tm)")), names=True).alias("name"))
+    rows = tables.dealt(_part(spark, at).select("p_partkey", "p_name", "p_type"), "p_partkey")
+    return rows.select("p_partkey", text.mixed_words(raw).alias("line"), text.mixed_words(F.concat("p_name", F.lit("Nufiez (tm)")), names=True).alias("name"))
 
 
 @query(f"select doc_id, md5(replace(replace(replace(replace(replace(replace(translate(coalesce(text, ''), '{''.join(text._BARE).replace(chr(39), chr(39) * 2)}', '{''.join(text._BARE.values()).replace(chr(39), chr(39) * 2)}'), 'ß', 'ss'), 'æ', 'ae'), 'Æ', 'AE'), 'œ', 'oe'), 'Œ', 'OE'), '…', '...')) as plain from documents")
