@@ -78,11 +78,11 @@ def evaluated(marks: DataFrame) -> DataFrame:
     missing are undervotes."""
     contest = Window.partitionBy("ballot_id", "contest")
     ranked = Window.partitionBy("ballot_id", "contest", "has_indication").orderBy("opt_ord")
-    df = marks.select(
+    # The rank first: its order serves the contest's counts too.
+    df = marks.select("*", F.row_number().over(ranked).alias("k_")).select(
         "*",
         F.sum("num_marks").over(contest).cast("int").alias("d_"),
         F.count_if(F.col("has_indication") == MARGINAL).over(contest).cast("int").alias("m_"),
-        F.row_number().over(ranked).alias("k_"),
     )
     over = F.col("d_") > F.col("vote_for")
     vote = F.when(over, 0).when(F.col("has_indication") == DEFINITE, 1).when((F.col("has_indication") == MARGINAL) & (F.col("k_") <= F.col("vote_for") - F.col("d_")), 1).otherwise(0)

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in a part of a large shuffle, and of a table that is broadcast at most.
+PART_ROWS = 250_000
+
+
 def table(spark: SparkSession, at: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{at}/{name}.parquet")
 
@@ -18,17 +22,40 @@ def dealt(df: DataFrame, key: str, rows: int = 20_000) -> DataFrame:
     return df if n < 2 else df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), key)
 
 
+def parts(df: DataFrame) -> int:
+    """In how many parts df is to be shuffled for PART_ROWS in each; 0 if the
+    session's own parallelism does. Counting Parquet reads its footers only."""
+    n = -(-df.count() // PART_ROWS)
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return n if n > min(own, df.sparkSession.sparkContext.defaultParallelism) else 0
+
+
+def looked_up(rows: DataFrame, one: DataFrame, key: str, own: str, n: int, small: bool = True) -> DataFrame:
+    """Inner join of rows with a table that has a key once, in n parts, of
+    which a task holds the table's share only and sorts neither side; Spark's
+    own plan for n = 0. Where the table may be small (it is counted) it is
+    broadcast instead, and the rows stay where they are."""
+    on = F.col(key) == F.col(own)
+    if not n:
+        return rows.join(one, on)
+    if small and one.count() <= PART_ROWS:
+        return rows.join(F.broadcast(one), on)
+    return rows.repartition(n, key).join(one.repartition(n, own).hint("shuffle_hash"), on)
+
+
 def marks(spark: SparkSession, at: str) -> DataFrame:
     """Order lines as measured voting targets. Only the needed columns are
-    read; part and customer are the small sides, left to AQE to broadcast. The
-    join by order comes last, so the marks leave it partitioned by ballot and
-    what goes on by ballot needs no other shuffle."""
+    read. The join by order comes last, so the marks leave it partitioned by
+    ballot and what goes on by ballot needs no other shuffle. The number of
+    parts grows with the rows, so that a task's share doesn't."""
     line = table(spark, at, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
     order = table(spark, at, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     customer = table(spark, at, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     part = table(spark, at, "part").select("p_partkey", "p_type", "p_brand")
-    orders = order.join(customer, order.o_custkey == customer.c_custkey)
-    df = line.join(part, line.l_partkey == part.p_partkey).join(orders, line.l_orderkey == orders.o_orderkey)
+    n = parts(line)
+    orders = looked_up(order, customer, "o_custkey", "c_custkey", parts(order))
+    df = looked_up(line, part, "l_partkey", "p_partkey", n)
+    df = looked_up(df, orders, "l_orderkey", "o_orderkey", n, small=False)
     return df.select(
         F.col("l_orderkey").alias("ballot_id"), F.col("p_type").alias("contest"), F.col("p_brand").alias("option"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("opt_ord"), (F.col("l_quantity") * 6).cast("int").alias("pmv"),
