@@ -60,3 +60,40 @@ def test_dealt(spark):
     assert tables.dealt(few, "id") is few
     many = tables.dealt(spark.range(50_000).coalesce(1), "id")
     assert many.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and many.count() == 50_000
+
+
+VOTES = ["cvr_unified", "compare_options", "cmp_summary", "precinct_discrepancy", "evaluate_votes", "tabulate_contests", "pivot_options"]
+
+
+@pytest.mark.parametrize("name", VOTES)
+def test_votes_in_many_parts(spark, grown, monkeypatch, name):
+    monkeypatch.setattr(tables, "PART_ROWS", 100)
+    same(spark, grown, name)
+
+
+def test_parts_grow_with_rows(spark, monkeypatch):
+    """A task's share of the marks stays the same whatever their number."""
+    rows = tables.table(spark, SF, "lineitem").count()
+    monkeypatch.setattr(tables, "PART_ROWS", 100)
+    assert registry.queries()["evaluate_votes"](spark, SF).rdd.getNumPartitions() == -(-rows // 100)
+    assert tables.parts(spark.range(300)) == 0
+
+
+@pytest.mark.parametrize("name", ["compare_options", "cmp_summary", "precinct_discrepancy"])
+def test_marks_read_once(spark, name):
+    assert plan(registry.queries()[name](spark, SF)).count("Relation [l_orderkey") == 1
+
+
+def test_options_of_marks_as_joined(spark):
+    """Null names equal nothing, as in a join of both sides."""
+    from pyspark.sql import functions as F
+
+    from tallyforge.operators import compare
+
+    rows = [(1, "a", "x", 1, 1, True), (1, "a", "x", 0, 0, True), (1, "a", "y", 1, 1, False), (1, None, "x", 1, 0, True), (1, "a", None, 0, None, True), (2, None, None, 1, 1, False), (2, "b", "x", 1, 1, None)]
+    df = spark.createDataFrame(rows, "ballot_id long, contest string, option string, num_votes int, vote int, recorded boolean")
+    cvr = df.where("recorded").groupBy("ballot_id", "contest", "option").agg(F.max("vote").alias("cvr_votes"))
+    joined = compare.compared_options(compare.audit_options(df), cvr)
+    own = compare.options_of_marks(df, F.col("recorded"), F.col("vote"), F.sum("num_votes"))
+    assert sorted(map(repr, own.drop("more0_").collect())) == sorted(map(repr, joined.collect()))
+    assert own.agg(F.sum("more0_")).collect()[0][0] == 5
