@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Rows in a part of a large shuffle, and of a table that is broadcast at most.
 PART_ROWS = 250_000
+#: Parts up to which a task writes a shuffle without holding its rows (Spark's default), and parts' worth of rows that a task holds otherwise.
+UNHELD_PARTS, HELD_PARTS = 200, 8
 
 
 def table(spark: SparkSession, at: str, name: str) -> DataFrame:
@@ -30,6 +32,13 @@ def parts(df: DataFrame) -> int:
     return n if n > min(own, df.sparkSession.sparkContext.defaultParallelism) else 0
 
 
+def lookup_parts(n: int) -> int:
+    """In how many parts to look up what then goes on in n: rows pass by the
+    table's share, so a part may have more of them. A scan that deals rows to
+    more than UNHELD_PARTS holds its whole split to sort it."""
+    return n if n > UNHELD_PARTS * HELD_PARTS else min(n, UNHELD_PARTS)
+
+
 def looked_up(rows: DataFrame, one: DataFrame, key: str, own: str, n: int, small: bool = True) -> DataFrame:
     """Inner join of rows with a table that has a key once, in n parts, of
     which a task holds the table's share only and sorts neither side; Spark's
@@ -53,8 +62,8 @@ def marks(spark: SparkSession, at: str) -> DataFrame:
     customer = table(spark, at, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     part = table(spark, at, "part").select("p_partkey", "p_type", "p_brand")
     n = parts(line)
-    orders = looked_up(order, customer, "o_custkey", "c_custkey", parts(order))
-    df = looked_up(line, part, "l_partkey", "p_partkey", n)
+    orders = looked_up(order, customer, "o_custkey", "c_custkey", lookup_parts(parts(order)))
+    df = looked_up(line, part, "l_partkey", "p_partkey", lookup_parts(n))
     df = looked_up(df, orders, "l_orderkey", "o_orderkey", n, small=False)
     return df.select(
         F.col("l_orderkey").alias("ballot_id"), F.col("p_type").alias("contest"), F.col("p_brand").alias("option"),

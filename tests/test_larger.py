@@ -1,5 +1,7 @@
 """Queries on keys and tables larger than the test tables'."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -97,3 +99,28 @@ def test_options_of_marks_as_joined(spark):
     own = compare.options_of_marks(df, F.col("recorded"), F.col("vote"), F.sum("num_votes"))
     assert sorted(map(repr, own.drop("more0_").collect())) == sorted(map(repr, joined.collect()))
     assert own.agg(F.sum("more0_")).collect()[0][0] == 5
+
+
+def test_lookups_in_few_parts(spark, monkeypatch):
+    """A scan deals rows to so few parts that it needn't hold them; the marks
+    still end in parts of PART_ROWS."""
+    rows = tables.table(spark, SF, "lineitem").count()
+    monkeypatch.setattr(tables, "PART_ROWS", 20)
+    n = -(-rows // 20)
+    assert tables.UNHELD_PARTS < n < tables.UNHELD_PARTS * tables.HELD_PARTS
+    p = plan(tables.marks(spark, SF))
+    dealt = {k: {int(x) for x in re.findall(rf"RepartitionByExpression \[{k}#\d+L?\], (\d+)", p)} for k in ("l_partkey", "l_orderkey")}
+    assert dealt == {"l_partkey": {tables.UNHELD_PARTS}, "l_orderkey": {n}}
+    assert [tables.lookup_parts(x) for x in (0, 7, 201, 1600, 1601)] == [0, 7, 200, 200, 1601]
+
+
+@pytest.mark.parametrize("name", ["compare_contests"])
+def test_comparison_in_many_parts(spark, grown, monkeypatch, name):
+    """The marks are read once, nothing is joined to compare, and lookups in
+    fewer parts than the ballots give the SQL's rows."""
+    monkeypatch.setattr(tables, "PART_ROWS", 100)
+    monkeypatch.setattr(tables, "UNHELD_PARTS", 16)
+    p = plan(registry.queries()[name](spark, grown[0]))
+    assert p.count("Relation [l_orderkey") == 1 and "FullOuter" not in p
+    assert re.search(r"RepartitionByExpression \[l_partkey#\d+L?\], 16\b", p)
+    same(spark, grown, name)
