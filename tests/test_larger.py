@@ -114,7 +114,7 @@ def test_lookups_in_few_parts(spark, monkeypatch):
     assert [tables.lookup_parts(x) for x in (0, 7, 201, 1600, 1601)] == [0, 7, 200, 200, 1601]
 
 
-@pytest.mark.parametrize("name", ["compare_contests", "compare_options", "contest_set_mismatch", "discrepancy_list"])
+@pytest.mark.parametrize("name", ["compare_contests", "compare_options", "contest_set_mismatch", "discrepancy_list", "option_discrepancy"])
 def test_comparison_in_many_parts(spark, grown, monkeypatch, name):
     """The marks are read once, nothing is joined to compare, and lookups in
     fewer parts than the ballots give the SQL's rows."""
