@@ -124,3 +124,22 @@ def test_comparison_in_many_parts(spark, grown, monkeypatch, name):
     assert p.count("Relation [l_orderkey") == 1 and "FullOuter" not in p
     assert re.search(r"RepartitionByExpression \[l_partkey#\d+L?\], 16\b", p)
     same(spark, grown, name)
+
+
+def shuffles(df) -> list:
+    """Keys and number of parts of each shuffle that is planned."""
+    p = df._jdf.queryExecution().executedPlan().toString()
+    return [(tuple(re.findall(r"(\w+)#", keys)), int(n)) for keys, n in re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\)", p)]
+
+
+@pytest.mark.parametrize("name", ["compare_options"])
+def test_comparison_shuffles(spark, monkeypatch, name):
+    """From the marks on nothing is shuffled but combined totals; the parts of
+    the marks grow with their number, so that a task's share doesn't."""
+    monkeypatch.setattr(tables, "PART_ROWS", 500)
+    totals = [("contest", "option")] if name == "option_discrepancy" else []
+    for at in (SF, "/root/testdata/sf0.01"):
+        n = -(-tables.table(spark, at, "lineitem").count() // 500)
+        found = shuffles(registry.queries()[name](spark, at))
+        assert {x for x in found if "orderkey" in x[0][0]} == {(("l_orderkey",), n), (("o_orderkey",), n)}
+        assert [keys for keys, _ in found if not keys[0].endswith("key")] == totals
