@@ -132,7 +132,7 @@ def shuffles(df) -> list:
     return [(tuple(re.findall(r"(\w+)#", keys)), int(n)) for keys, n in re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\)", p)]
 
 
-@pytest.mark.parametrize("name", ["compare_options", "contest_set_mismatch", "discrepancy_list"])
+@pytest.mark.parametrize("name", ["compare_options", "contest_set_mismatch", "discrepancy_list", "option_discrepancy"])
 def test_comparison_shuffles(spark, monkeypatch, name):
     """From the marks on nothing is shuffled but combined totals; the parts of
     the marks grow with their number, so that a task's share doesn't."""
